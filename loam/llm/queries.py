@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import rankagg, topn
+from loam.llm import rankagg, sentences, topn
 from loam.plans.runtime import join_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 FUSED = ["vector_score", "scores.is_relevant", "scores.contains_answer_evidence", "scores.llm", "scores.lexical"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every plain-text document."""
+    notes = table(spark, d, "documents").filter("kind = 'note'").select("doc_id", "text", "lang")
+    return sentences.sentence_units(notes)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The candidate that comes first when five scores weigh equally, per query not marked unanswerable."""
     marked = table(spark, d, "evalqueries").filter("answerable = false").select("query_id").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import rankagg, sentences, topn
+from loam.llm import markup, rankagg, sentences, topn
 from loam.plans.runtime import join_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,16 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, list items, code blocks and formulas of every exported document."""
+    return markup.elements(table(spark, d, "documents").filter("kind = 'export'"))
+
+
+def p6_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    """The readable text of every exported document."""
+    return markup.cleaned(table(spark, d, "documents").filter("kind = 'export'"))
+
+
 def _evidence_top(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "passages").select("query_id", "chunk_id", F.col("scores.contains_answer_evidence").alias("evidence"), "vector_score", "recorded_at")
     return topn.top_n(rows, "query_id", "chunk_id", "evidence", "vector_score", "recorded_at", 5)

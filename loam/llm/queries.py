@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import markup, rankagg, sentences, topn
+from loam.llm import boilerplate, markup, rankagg, sentences, topn
 from loam.plans.runtime import join_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,26 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every page that lies outside the main body."""
+    pages = table(spark, d, "documents").filter("kind = 'page'")
+    return boilerplate.furniture_lines(pages, "doc_id", "text", "title")
+
+
+def p4_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of every page."""
+    return boilerplate.main_texts(table(spark, d, "documents").filter("kind = 'page'"), "doc_id", "text", "title")
+
+
+def p4_chunk_text(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of every current chunk cut from a page."""
+    pages = table(spark, d, "documents").filter("kind = 'page'").select("doc_id", "title")
+    chunks = table(spark, d, "chunks")
+    last = chunks.groupBy("chunk_id").agg(F.max("ingested_at").alias("ingested_at"))
+    current = chunks.join(last, ["chunk_id", "ingested_at"], "left_semi").join(pages, "doc_id").dropDuplicates(["chunk_id"])
+    return boilerplate.main_texts(current, "chunk_id", "text", "title")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Headings, list items, code blocks and formulas of every exported document."""
     return markup.elements(table(spark, d, "documents").filter("kind = 'export'"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import boilerplate, markup, rankagg, sentences, topn
+from loam.llm import boilerplate, markup, mixture, rankagg, residue, sentences, topn
 from loam.plans.runtime import join_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,31 @@ def p3_top_scores(spark: SparkSession, d: str) -> DataFrame:
     return _evidence_top(spark, d).select("query_id", "chunk_id", F.col("score").alias("evidence"), F.col("tie_score").alias("vector_score"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Planned sources that cannot reach their share within their repeats."""
+    return mixture.feasibility(table(spark, d, "documents"), table(spark, d, "mixplan")).filter("NOT feasible").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of every planned source."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixplan"))[1]
+
+
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    """How often every document of a planned source is taken."""
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mixplan"))[0]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold template residue or nothing but notices."""
+    return residue.residue(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct messages concerned, with the documents and sources they occur in."""
+    return residue.recurring(residue.scan(table(spark, d, "documents"))).select("class", "message", "docs", "sources")
+
+
 _P3 = """
 WITH cur AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY recorded_at DESC NULLS LAST) AS rn FROM passages

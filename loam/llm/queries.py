@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import boilerplate, markup, mixture, rankagg, residue, sentences, topn
+from loam.llm import boilerplate, leakage, markup, mixture, rankagg, residue, sentences, topn
 from loam.plans.runtime import join_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,17 @@ def p3_top_scores(spark: SparkSession, d: str) -> DataFrame:
     return _evidence_top(spark, d).select("query_id", "chunk_id", F.col("score").alias("evidence"), F.col("tie_score").alias("vector_score"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least half of a held-out passage."""
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "testitems")).filter("item_id < doc_id").select("item_id", "doc_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per held-out item the number of documents that leak it and the best alignment."""
+    found = leakage.leaked(table(spark, d, "documents"), table(spark, d, "testitems"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.round(F.max("covered"), 4).alias("covered"), F.round(F.max("identity"), 4).alias("identity"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Planned sources that cannot reach their share within their repeats."""
     return mixture.feasibility(table(spark, d, "documents"), table(spark, d, "mixplan")).filter("NOT feasible").select("source")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import boilerplate, leakage, markup, mixture, rankagg, residue, sentences, topn
+from loam.llm import boilerplate, leakage, markup, mixture, rankagg, residue, sentences, splitting, topn
 from loam.plans.runtime import join_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,41 @@ def p3_top_scores(spark: SparkSession, d: str) -> DataFrame:
     return _evidence_top(spark, d).select("query_id", "chunk_id", F.col("score").alias("evidence"), F.col("tie_score").alias("vector_score"))
 
 
+def _current_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Current chunks larger than their limit; only those carry their text through the join."""
+    chunks = splitting.with_limits(table(spark, d, "chunks").filter("chunk_id IS NOT NULL"), table(spark, d, "chunkconfigs"))
+    at = F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(-(2**63)))
+    chunks = chunks.withColumns({"_at": at, "_tie": F.xxhash64("text", "max_tokens")})
+    # only the keys of repeated chunks are compared; texts stay where they are
+    latest = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.max("_at").alias("_last")).filter("n > 1").select("chunk_id", "_last")
+    large = splitting.oversized(chunks)
+    checked = join_small(large, latest, ["chunk_id"], "left", salt=F.col("_tie"))
+    current = checked.filter(F.col("_last").isNull() | (F.col("_at") == F.col("_last")))
+    return current.select(F.col("chunk_id").alias("id"), "doc_id", "text", "section_path", "max_tokens", "overlap_tokens")
+
+
+def _chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.pieces(_current_chunks(spark, d).withColumn("lang", F.lit(None).cast("string")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks too large for their configuration: those the splitter cuts."""
+    return _chunk_pieces(spark, d).filter("piece_index = 1").select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p7_chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every oversized chunk."""
+    return _chunk_pieces(spark, d).withColumnRenamed("id", "chunk_id")
+
+
+def p7_document_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document larger than the default configuration allows."""
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), "text", "lang", F.when(F.length("title") > 0, F.array("title")).alias("section_path"), F.lit(None).cast("int").alias("config_id")
+    )
+    return splitting.pieces(splitting.with_limits(rows, table(spark, d, "chunkconfigs"))).withColumnRenamed("id", "doc_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold at least half of a held-out passage."""
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "testitems")).filter("item_id < doc_id").select("item_id", "doc_id")
@@ -156,6 +191,17 @@ WITH cur AS (
 """
 
 _ORACLES = {
+    "p7_found": """
+WITH d AS (SELECT max_tokens FROM chunkconfigs WHERE is_default),
+cur AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) AS rn FROM chunks),
+s AS (
+  SELECT chunk_id, coalesce(c.max_tokens, (SELECT max_tokens FROM d)) AS cap,
+         regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS runs,
+         regexp_extract_all(text, '[^\\p{L}\\p{N}_\\s\\p{Z}]') AS others
+  FROM cur LEFT JOIN chunkconfigs c USING (config_id) WHERE rn = 1
+)
+SELECT chunk_id FROM s
+WHERE len(runs) + len(others) + (len(list_filter(runs, lambda x: length(x) > 8)) // 2) > cap""",
     "p2_found": _P2_RANKS.format(where="WHERE query_id NOT IN (SELECT query_id FROM evalqueries WHERE answerable = false AND query_id IS NOT NULL)")
     + "SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(significance, 12), round(mean_rank, 6), chunk_id) AS k FROM sig) WHERE k = 1",
     "p2_ranking": _P2_RANKS.format(where="") + "SELECT query_id, chunk_id, round(significance, 6) AS significance, round(mean_rank, 4) AS mean_rank, group_size FROM sig",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import boilerplate, leakage, markup, mixture, rankagg, residue, sentences, splitting, topn
+from loam.llm import boilerplate, leakage, markup, mixture, neighbours, rankagg, residue, sentences, splitting, topn
 from loam.plans.runtime import join_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def p4_chunk_text(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_texts(current, "chunk_id", "text", "title")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records of which one is among the other's five most similar, from a cosine of 0.9."""
+    return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "records"), 5, 0.9))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Headings, list items, code blocks and formulas of every exported document."""
     return markup.elements(table(spark, d, "documents").filter("kind = 'export'"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ IN_STRETCH = 3
 #: Least share of an item's sequences that must lie near one diagonal of a document before they are aligned.
 LEAST_SHARED = 0.14
 #: Least stretch of the item between the first and the last of them, as a share of its tokens.
-LEAST_SPAN = 0.3
+LEAST_SPAN = 0.34
+#: Tokens at the ends of a covered part that need not belong to a whole sequence.
+LOOSE_ENDS = 12
 #: Diagonals that count as near: words put in or left out between two sequences.
 BAND = 24
 LEAST_COVER = 0.47
@@ -73,8 +76,7 @@ class Items:
         self.grams = np.unique(self.hash)
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        get = self.words.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
 
 
 def sequence_hashes(numbers: np.ndarray) -> np.ndarray:
@@ -192,6 +194,20 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return found
 
 
+def align_straight(item: np.ndarray, doc: np.ndarray, diagonal: int) -> tuple[int, int]:
+    """(covered, equal) of the best local alignment without gaps on one diagonal."""
+    first = max(0, -diagonal)
+    n = min(len(item), len(doc) - diagonal) - first
+    if n <= 0:
+        return 0, 0
+    same = item[first : first + n] == doc[diagonal + first : diagonal + first + n]
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, MATCH, MISMATCH))])
+    least = np.minimum.accumulate(total)
+    end = int(np.argmax(total - least))
+    start = int(np.argmin(total[: end + 1]))
+    return end - start, int(same[start:end].sum())
+
+
 def _find(items: Items, seed: np.ndarray):
     gram_of = np.searchsorted(items.grams, items.hash)
     order = np.argsort(gram_of, kind="stable")
@@ -205,6 +221,11 @@ def _find(items: Items, seed: np.ndarray):
         times = use_count[g]
         hit = np.repeat(np.arange(len(g)), times)
         use = np.repeat(use_start[g], times) + np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times)
+        pair = row[hit] * len(lengths) + use_owner[use]
+        _, back, often = np.unique(pair, return_inverse=True, return_counts=True)
+        seeded_pair = np.bincount(back, weights=use_seed[use]) > 0
+        likely = seeded_pair[back] & (often[back] >= LEAST_SHARED * (lengths[use_owner[use]] - GRAM + 1))
+        hit, use = hit[likely], use[likely]
         owner, diagonal = use_owner[use], place[hit] - use_place[use]
         found = []
         for shift in (0, BAND // 2):
@@ -222,24 +243,28 @@ def _find(items: Items, seed: np.ndarray):
             mean = np.bincount(group, weights=d) / np.maximum(np.bincount(group), 1)
             tails = np.append(heads[1:], len(key)) - 1
             span = p[tails] - p[heads] + GRAM
-            ok = seeded & (span >= LEAST_SPAN * lengths[o[heads]]) & (distinct >= np.maximum(1, LEAST_SHARED * (lengths[o[heads]] - GRAM + 1)))
-            found.append((r[heads][ok], o[heads][ok], mean[ok].astype(np.int64)))
-        r, o, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            ok = seeded & (span >= np.maximum(LEAST_SPAN * lengths[o[heads]], LEAST_COVER * lengths[o[heads]] - LOOSE_ENDS)) & (distinct >= np.maximum(1, LEAST_SHARED * (lengths[o[heads]] - GRAM + 1)))
+            found.append((r[heads][ok], o[heads][ok], mean[ok].astype(np.int64), d[heads][ok]))
+        r, o, d, exact = (np.concatenate(x) for x in zip(*found, strict=True))
         key = np.lexsort((d, o, r))
-        r, o, d = r[key], o[key], d[key]
+        r, o, d, exact = r[key], o[key], d[key], exact[key]
         keep = np.ones(len(r), bool)
         keep[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1]) | (d[1:] - d[:-1] > BAND // 2)
-        return r[keep], o[keep], d[keep]
+        return r[keep], o[keep], d[keep], exact[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, place, g, seqs = _lookup(items, batch.column("text").to_pylist())
             best: dict[tuple[int, int], tuple[float, float]] = {}
             if len(row):
-                for r, o, d in zip(*(x.tolist() for x in candidates(row, place, g)), strict=True):
+                for r, o, d, exact in zip(*(x.tolist() for x in candidates(row, place, g)), strict=True):
                     item = items.seqs[o]
-                    slack = BAND + len(item) // 8
-                    covered, equal, _ = align(item, seqs[r][max(0, d - slack) : max(0, d + len(item) + slack)])
+                    if best.get((r, o), (0.0, 0.0))[0] >= 1.0:
+                        continue
+                    covered, equal = align_straight(item, seqs[r], exact)
+                    if covered < LEAST_COVER * len(item):  # words put in or left out: gaps are needed
+                        slack = BAND + len(item) // 8
+                        covered, equal, _ = align(item, seqs[r][max(0, d - slack) : max(0, d + len(item) + slack)])
                     share, same = covered / len(item), equal / max(covered, 1)
                     if share >= LEAST_COVER and same >= LEAST_IDENTITY:
                         best[r, o] = max(best.get((r, o), (0.0, 0.0)), (share, same))

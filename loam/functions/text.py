@@ -188,5 +188,5 @@ def parse_rerank_scores(reply: Column, n: Column) -> Column:
     items = F.from_json(body, "scores array<struct<id: string, score: string>>")["scores"]
     place = lambda i: F.filter(items, lambda x: x["id"].try_cast("double").cast("int") == i)
     at = lambda i: F.get(place(i), F.size(place(i)) - 1)["score"].try_cast("double")
-    clamp = lambda s: F.least(F.greatest(s, F.lit(0.0)), F.lit(10.0))
+    clamp = lambda s: F.when(s.isNotNull(), F.least(F.greatest(s, F.lit(0.0)), F.lit(10.0)))
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: clamp(at(i)))).otherwise(F.array().cast("array<double>"))

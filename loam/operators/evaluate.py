@@ -44,7 +44,7 @@ def evidence_match(evidence: DataFrame, passages: DataFrame, evidence_id: str, p
     shared = e_grams.join(p_grams, "gram").groupBy(evidence_id, passage_id).agg(F.count(F.lit(1)).alias("hits")).join(total, evidence_id)
     by_grams = shared.filter(F.col("hits") / F.col("n") >= LEAST_GRAMS).select(evidence_id, passage_id)
     words = p.select(passage_id, "p_form", F.explode(F.array_distinct(F.split("p_form", " "))).alias("w"))
-    contained = short_e.withColumn("w", F.split("e_form", " ")[0]).join(words, "w").filter(F.col("p_form").contains(F.col("e_form"))).select(evidence_id, passage_id)
+    contained = short_e.withColumn("w", F.split("e_form", " ")[0]).join(words, "w").filter(F.concat(F.lit(" "), "p_form", F.lit(" ")).contains(F.concat(F.lit(" "), "e_form", F.lit(" ")))).select(evidence_id, passage_id)
     return by_grams.unionByName(contained).distinct()
 
 

@@ -111,38 +111,45 @@ def _kind_of(data_type: T.DataType) -> str:
 
 
 def _compare(column: Column, data_type: T.DataType, op: str, value: Any) -> Column:
+    """Null where the field is missing, or false."""
     if op in ("in", "nin"):
         fitting = [v for v in value if _kind(v) == _kind_of(data_type)]
         found = column.isin(fitting) if fitting else F.lit(False)
-        return F.coalesce(found if op == "in" else column.isNotNull() & ~found, F.lit(False))
+        return found if op == "in" else column.isNotNull() & ~found
     if _kind(value) != _kind_of(data_type):
         return column.isNotNull() if op == "ne" else F.lit(False)
     if op not in ("eq", "ne") and _kind(value) == "boolean":
         return F.lit(False)
-    compared = {"eq": column == value, "ne": column != value, "gt": column > value, "gte": column >= value, "lt": column < value, "lte": column <= value}[op]
-    return F.coalesce(compared, F.lit(False))
+    return {"eq": column == value, "ne": column != value, "gt": column > value, "gte": column >= value, "lt": column < value, "lte": column <= value}[op]
 
 
-def condition(filter_: Filter | None, schema: T.StructType) -> Column:
-    """The filter as a condition that is never null; a field the schema lacks is missing in every row."""
+def condition(filter_: Filter | None, schema: T.StructType, exact: bool = True) -> Column:
+    """The filter as a condition that is never null; a field the schema lacks is missing in every row.
+
+    With ``exact`` off, comparisons outside of ``not`` may be null instead of false. That keeps the same
+    rows in a filter, and leaves them in the form the Parquet reader understands.
+    """
     types = {f.name: f.dataType for f in schema.fields}
 
-    def build(node: tuple) -> Column:
+    def build(node: tuple, exact: bool) -> Column:
         kind = node[0]
         if kind == "not":
-            return ~build(node[1])
+            return ~build(node[1], True)
         if kind in ("and", "or"):
-            parts = [build(n) for n in node[1]]
+            parts = [build(n, exact) for n in node[1]]
             return reduce(lambda a, b: a & b if kind == "and" else a | b, parts) if parts else F.lit(True)
         field = node[1]
         if field not in types:
             return F.lit(False)
         column = F.col(f"`{field}`")
-        return column.isNotNull() if kind == "exists" else _compare(column, types[field], kind, node[2])
+        if kind == "exists":
+            return column.isNotNull()
+        compared = _compare(column, types[field], kind, node[2])
+        return F.coalesce(compared, F.lit(False)) if exact else compared
 
-    return build(parse(filter_))
+    return build(parse(filter_), exact)
 
 
 def where(df: DataFrame, filter_: Filter | None) -> DataFrame:
     """Rows that satisfy the filter; simple comparisons reach the Parquet reader."""
-    return df.filter(condition(filter_, df.schema))
+    return df.filter(condition(filter_, df.schema, exact=False))

@@ -238,7 +238,7 @@ def nearest(df: DataFrame, k: int, least: float, id_: str = "id", vector: str =
     pairs = entries.mapInArrow(_rerank(k, least, dim), "gid string, other string, similarity double")
     pairs = pairs.groupBy("gid", "other").agg(F.max("similarity").alias("similarity"))
     by_group = Window.partitionBy("gid").orderBy(F.round("similarity", 6).desc(), "other")
-    best = pairs.withColumn("rn", F.row_number().over(by_group)).filter(F.col("rn") <= k).drop("rn")
+    best = materialize(pairs.withColumn("rn", F.row_number().over(by_group)).filter(F.col("rn") <= k).drop("rn"))
 
     # copies: a group answers with its k + 1 smallest ids
     in_group = Window.partitionBy("gid").orderBy("id")

@@ -62,3 +62,16 @@ def with_slots(df: DataFrame, key: str, spread: str, rows_per_slot: int) -> Data
     out = join_small(df, hot, [key], "left", salt=F.xxhash64(spread))
     out = out.withColumn("_slots", F.coalesce("_slots", F.lit(1)))
     return out.withColumn("_slot", F.pmod(F.xxhash64(spread), F.col("_slots").cast("long")).cast("int"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row-wise work on an input of few partitions.
+
+    An input with fewer partitions than the cluster has cores is small (a partition is at most
+    ``spark.sql.files.maxPartitionBytes``), so dealing its rows out costs little; a larger input is left alone,
+    and so is one that comes out of a shuffle, which asking for its partitions would already run.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

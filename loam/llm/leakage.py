@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.plans.runtime import spread
+
 GRAM = 5
 BLOCK = 2_000
 #: A sequence in at most this share of the documents (and always one in at most ``FEW`` documents) is rare.
@@ -287,6 +289,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     rows = items.filter("item_id IS NOT NULL AND length(passage) > 0").select("item_id", "passage").distinct()
     texts = documents.filter("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     passages = [r.passage for r in rows.select("passage").distinct().orderBy("passage").collect()]
+    texts = spread(texts)
     shape = "item_id long, doc_id long, covered double, identity double"
     out = None
     for start in range(0, len(passages), BLOCK):

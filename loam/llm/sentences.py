@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.plans.runtime import spread
+
 # Abbreviations that are always followed by the rest of their sentence, by language.
 ALWAYS = {
     "en": "mr mrs ms dr prof st rev gen e.g i.e cf vs approx v fig figs sec ch pp vol nos eq ver al capt lt sgt hon",
@@ -271,4 +273,4 @@ def sentence_units(df: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     rows give repeated sentences, and further columns of the input are ignored.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("length(text) > 0")
-    return rows.mapInArrow(_batches(["doc_id", "char_start", "char_end"]), "doc_id long, char_start long, char_end long")
+    return spread(rows).mapInArrow(_batches(["doc_id", "char_start", "char_end"]), "doc_id long, char_start long, char_end long")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.plans.runtime import spread
+
 #: Folder of the vocabulary files; they are not part of this repository.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -75,4 +77,4 @@ def with_tokens(df: DataFrame, text: str, keep: list[str], folder: str = TOKENIZ
 
     rows = df.select(*keep, F.col(text).alias("_text"))
     shape = rows.drop("_text").schema.add("tokens", "long")
-    return rows.mapInArrow(run, shape)
+    return spread(rows).mapInArrow(run, shape)

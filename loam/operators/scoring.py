@@ -129,3 +129,42 @@ def usage(calls: DataFrame) -> DataFrame:
     )
     waits = nearest_rank_by(calls.withColumn("all", F.lit(1)), ["all"], "ms", {"p50_ms": 0.5, "p90_ms": 0.9}).drop("all", "n")
     return sums.join(F.broadcast(waits))
+
+
+# ---------------------------------------------------------------- packing, reranking, answering
+
+def pack(sizes: list[int], most_items: int = 40, budget: int = MAX_REQUEST_TOKENS // 2, overhead: int = 60) -> list[list[int]]:
+    """Consecutive positions in one request: at most ``most_items``, at most ``budget``, each costing twice its size and overhead.
+
+    One item larger than the budget gets a request of its own.
+    """
+    out: list[list[int]] = []
+    room = 0
+    for i, size in enumerate(sizes):
+        cost = 2 * (size + overhead)
+        if not out or len(out[-1]) == most_items or cost > room:
+            out.append([])
+            room = budget
+        out[-1].append(i)
+        room -= cost
+    return out
+
+
+def rerank_prompt(query: str, passages: list[str], most_chars: int = 1500) -> str:
+    """What a language model is asked to score passages from 0 to 10, numbered from 1."""
+    listed = "\n".join(f"[{n}] {p[:most_chars]}" for n, p in enumerate(passages, 1))
+    return f'Score how well each passage answers the question, 0 to 10. Reply with JSON {{"scores": [{{"id": 1, "score": 0}}]}}.\nQuestion: {query}\n{listed}'
+
+
+def answers(results: DataFrame, generate: Callable[[str, str], str], fallback: str = "The sources do not answer this.") -> DataFrame:
+    """(query_id, answer) for results (query_id, text, prompt, abstain); abstaining rows never reach the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [generate(q, p) for q, p in zip(batch.column("text").to_pylist(), batch.column("prompt").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(made, pa.string())], names=["query_id", "answer"])
+
+    quiet = F.col("abstain") | F.col("prompt").isNull()
+    asked = results.filter(~quiet).select("query_id", "text", "prompt")
+    shape = f"query_id {results.schema['query_id'].dataType.simpleString()}, answer string"
+    return asked.mapInArrow(run, shape).unionByName(results.filter(quiet).select("query_id", F.lit(fallback).alias("answer")))

@@ -156,3 +156,19 @@ def test_env_and_slots(spark):
     df = spark.createDataFrame([("hot", i) for i in range(100)] + [("cold", 1)], "k string, v long")
     rows = runtime.with_slots(df, "k", "v", 30).collect()
     assert {r._slots for r in rows if r.k == "hot"} == {4} and {r._slots for r in rows if r.k == "cold"} == {1} and len(rows) == 101
+
+
+def test_packing_prompts_and_answers(spark):
+    assert scoring.pack([10] * 90, budget=10**6) == [list(range(40)), list(range(40, 80)), list(range(80, 90))]
+    assert scoring.pack([10, 5000, 10], budget=1000) == [[0], [1], [2]] and scoring.pack([]) == []
+    assert "[2] b" in scoring.rerank_prompt("q", ["a", "b" * 9])
+    rows = spark.createDataFrame([("a", "x", "p", False), ("b", "y", None, False), ("c", "z", "p", True)], "query_id string, text string, prompt string, abstain boolean")
+    got = {r.query_id: r.answer for r in scoring.answers(rows, lambda q, p: q + p, "none").collect()}
+    assert got == {"a": "xp", "b": "none", "c": "none"}
+
+
+def test_long_quotations_need_most_of_their_sequences(spark):
+    e = spark.createDataFrame([("e1", "One two three four five six seven."), ("e2", "zwei Wörter"), ("e3", "")], "eid string, text string")
+    p = spark.createDataFrame([(1, "so one, two three FOUR five six seven!"), (2, "one two three four five but not"), (3, "mit zwei w rter hier"), (4, None)], "pid long, text string")
+    assert {(r.eid, r.pid) for r in evaluate.evidence_match(e, p, "eid", "pid").collect()} == {("e1", 1), ("e2", 3)}
+    assert evaluate.longest_common_share("abcd", "xxbcdx") == 0.75

@@ -27,8 +27,9 @@ class ManifestError(ValueError):
 
 
 def latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """The last row of every key by ``version``; ties by the whole row's hash, so the result is stable."""
-    order = Window.partitionBy(*keys).orderBy(*[F.col(v).desc_nulls_last() for v in version], F.xxhash64(*df.columns))
+    """The last row of every key by ``version``; ties by the row's hash, so the result is stable."""
+    plain = [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    order = Window.partitionBy(*keys).orderBy(*[F.col(v).desc_nulls_last() for v in version], F.xxhash64(*[F.col(f"`{c}`") for c in plain]))
     return df.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 

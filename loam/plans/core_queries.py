@@ -329,11 +329,11 @@ def current_records(spark: Spark, d: str) -> DataFrame:
     return collection.latest(rows, ["id"], ["ingested_at"])
 
 
-@register("upsert_replace", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'U', o_totalprice * 2 FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT -o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderkey % 7 = 0")
+@register("upsert_replace", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT o_orderkey, 'U', o_totalprice * 2 FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT -1 - o_orderkey, 'N', o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def upsert_replace(spark: Spark, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    changed = orders.filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit("U").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
-    added = orders.filter("o_orderkey % 7 = 0").select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")
+    changed = orders.filter("o_orderstatus = 'O'").select("o_orderkey", F.lit("U").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    added = orders.filter("o_orderstatus = 'F'").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice")
     return collection.upsert(orders, changed.unionByName(added), "o_orderkey")
 
 
@@ -369,11 +369,11 @@ def stale_delete(spark: Spark, d: str) -> DataFrame:
 _DH = f"left(sha256({_NORM} || chr(31) || coalesce(title, '')), 32)"
 
 
-@register("skip_unchanged", f"WITH d AS (SELECT doc_id, {_DH} AS h FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'changed' ELSE h END AS h FROM d) SELECT d.doc_id, d.h AS doc_hash FROM d JOIN s ON d.doc_id = s.doc_id AND d.h = s.h")
+@register("skip_unchanged", f"WITH d AS (SELECT doc_id, kind, {_DH} AS h FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, CASE WHEN kind = 'page' THEN 'changed' ELSE h END AS h FROM d) SELECT d.doc_id, d.h AS doc_hash FROM d JOIN s ON d.doc_id = s.doc_id AND d.h = s.h")
 def skip_unchanged(spark: Spark, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", tx.doc_hash(F.col("text"), F.col("title")).alias("doc_hash"))
-    stored = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "changed").otherwise(F.col("doc_hash")).alias("doc_hash"))
-    return collection.unchanged(docs, stored)
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "kind", tx.doc_hash(F.col("text"), F.col("title")).alias("doc_hash"))
+    stored = docs.select("doc_id", F.when(F.col("kind") == "page", "changed").otherwise(F.col("doc_hash")).alias("doc_hash"))
+    return collection.unchanged(docs.drop("kind"), stored)
 
 
 @register("collection_inspect", "SELECT doc_id, chunk_index, chunk_id, quarantined FROM chunks WHERE quarantined ORDER BY doc_id, chunk_index")

@@ -148,14 +148,25 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PIECES = "id long, piece_index int, piece_start long, piece_end long, piece_tokens long, section_path array<string>, piece_text string"
 
 
+#: Configurations there may be; the table is broadcast.
+MAX_CONFIGS = 10_000
+
+
 def with_limits(rows: DataFrame, configs: DataFrame) -> DataFrame:
-    """Add ``max_tokens`` and ``overlap_tokens``; a missing or unknown config_id means the default configuration."""
-    known = configs.filter("config_id IS NOT NULL").select("config_id", "max_tokens", "overlap_tokens", "is_default").dropDuplicates(["config_id"]).limit(10_000)
-    default = configs.filter("is_default").agg(F.min_by(F.struct("max_tokens", "overlap_tokens"), "config_id").alias("fallback"))
-    joined = rows.join(F.broadcast(known.drop("is_default")), "config_id", "left").join(F.broadcast(default))
-    return joined.withColumns(
-        {"max_tokens": F.coalesce("max_tokens", "fallback.max_tokens"), "overlap_tokens": F.coalesce("overlap_tokens", "fallback.overlap_tokens", F.lit(0))}
-    ).drop("fallback")
+    """Add ``max_tokens`` and ``overlap_tokens``; a missing or unknown config_id means the default configuration.
+
+    Of several defaults the one with the smallest id counts; without a default such rows have no limit.
+    """
+    listed = configs.filter("config_id IS NOT NULL").select("config_id", "max_tokens", "overlap_tokens", "is_default").limit(MAX_CONFIGS + 1).collect()
+    if len(listed) > MAX_CONFIGS:
+        raise ValueError(f"at most {MAX_CONFIGS} configurations")
+    default = min((r for r in listed if r.is_default), key=lambda r: r.config_id, default=None)
+    known = {r.config_id: (r.config_id, r.max_tokens, r.overlap_tokens) for r in sorted(listed, key=lambda r: (r.max_tokens is None, r.max_tokens or 0), reverse=True)}
+    small = F.broadcast(rows.sparkSession.createDataFrame(list(known.values()), "config_id int, max_tokens int, overlap_tokens int"))
+    fallback = lambda c: F.lit(getattr(default, c) if default else None).cast("int")
+    return rows.join(small, "config_id", "left").withColumns(
+        {"max_tokens": F.coalesce("max_tokens", fallback("max_tokens")), "overlap_tokens": F.coalesce("overlap_tokens", fallback("overlap_tokens"), F.lit(0))}
+    )
 
 
 def oversized(rows: DataFrame) -> DataFrame:

@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.topn import complete_groups, current_rows, group_numbers
-from loam.plans.runtime import materialize, with_slots
+from loam.plans.runtime import join_small, materialize, with_slots
 
 #: Most rows of one group that one task ranks by itself.
 ROWS_PER_SLOT = 50_000
-#: Copies of the counted ranks a hot group's rows are joined with, so that one very common value is spread.
-VALUE_FANOUT = 16
+#: A value that more rows of a hot group share is looked up apart, so that no task gets all of its rows.
+COMMON_VALUE = 10_000
 
 _LOWEST = -1.7976931348623157e308
 
@@ -107,9 +107,13 @@ def _rank_hot(hot: DataFrame, scores: list[str]) -> DataFrame:
     offsets = totals.select("group_id", "field", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     running = Window.partitionBy("group_id", "field", "part").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = placed.withColumn("upto", F.sum("n").over(running)).join(offsets, ["group_id", "field", "part"])
-    ranked = ranked.select("group_id", "field", "value", (F.col("offset") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
-    ranked = ranked.withColumn("_copy", F.explode(F.array([F.lit(i) for i in range(VALUE_FANOUT)])))
-    wide = long.withColumn("_copy", F.pmod(F.xxhash64("item_id"), F.lit(VALUE_FANOUT)).cast("int")).join(ranked, ["group_id", "field", "value", "_copy"])
+    ranked = ranked.select("group_id", "field", "value", "n", (F.col("offset") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+    ranked = materialize(ranked)
+    key = ["group_id", "field", "value"]
+    common = ranked.filter(F.col("n") > COMMON_VALUE).select(*key, F.col("rank").alias("common_rank"))
+    looked_up = join_small(long, common, key, "left", salt=F.xxhash64("item_id"))
+    rare = looked_up.filter("common_rank IS NULL").drop("common_rank").join(ranked.filter(F.col("n") <= COMMON_VALUE).drop("n"), key)
+    wide = looked_up.filter("common_rank IS NOT NULL").withColumnRenamed("common_rank", "rank").unionByName(rare)
     per_item = wide.groupBy("group_id", "item_id").agg(*[F.max(F.when(F.col("field") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(scores))])
     sizes = hot.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
     per_item = per_item.join(sizes, "group_id")

@@ -59,12 +59,15 @@ def test_bisection_on_equal_codes():
     assert (np.diff(topn.order_code(values).astype(object)) >= 0).all() and topn.order_code(np.array([np.nan]))[0] == 0
 
 
-def test_hot_groups_rank_like_small_ones(spark):
+def test_hot_groups_rank_like_small_ones(spark, monkeypatch):
     df = spark.createDataFrame(rows_of(2), SCHEMA).withColumn("third", F.col("chunk_id") % 7).withColumn("item_id", F.lit(1))
     scores = [F.col("score"), F.col("tie"), F.col("third")]
     small = {(r.query_id, r.chunk_id): (round(r.significance, 9), round(r.mean_rank, 9), r.group_size) for r in rankagg.aggregate_ranks(df, "query_id", "chunk_id", scores, "at").collect()}
     spread = {(r.query_id, r.chunk_id): (round(r.significance, 9), round(r.mean_rank, 9), r.group_size) for r in rankagg.aggregate_ranks(df, "query_id", "chunk_id", scores, "at", 50).collect()}
     assert small == spread and len(small) == len(current(df))
+    monkeypatch.setattr(rankagg, "COMMON_VALUE", 20)
+    common = {(r.query_id, r.chunk_id): (round(r.significance, 9), round(r.mean_rank, 9), r.group_size) for r in rankagg.aggregate_ranks(df, "query_id", "chunk_id", scores, "at", 50).collect()}
+    assert small == common
 
 
 def test_ranges_do_not_matter_and_empty_input(spark):

@@ -19,6 +19,7 @@ class Thresholds:
     quarantine_instructs: float = 0.70
     tag_confidence: float = 0.50
     mode: str = "on"
+    screen_paragraphs: str = "on"
 
 
 @dataclass(frozen=True)

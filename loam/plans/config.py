@@ -47,9 +47,9 @@ def build(kind: type, values: dict[str, Any] | None, where: str = "config") -> A
     out = {}
     for name, value in values.items():
         default = fields[name].default
-        if name == "mode":
+        if name in ("mode", "screen_paragraphs"):
             if value not in MODES:
-                raise ValueError(f"{where}.mode is on, shadow or off")
+                raise ValueError(f"{where}.{name} is on, shadow or off")
             value = MODES[value]
         elif kind is Taxonomy and name == "fields":
             value = tuple(TagField(f["name"], tuple(f["options"]), bool(f.get("route", False))) for f in value)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import filters, text as tx, vectors
-from loam.operators import chunking, collection, enrich, evaluate, retrieval
+from loam.operators import chunking, collection, enrich, evaluate, retrieval, screening
 from loam.plans.catalogue import register
 from loam.plans.runtime import table
 
@@ -467,6 +467,25 @@ def screen_decisions(spark: Spark, d: str) -> DataFrame:
     return scored.groupBy("doc_id", enrich.screen_action(F.col("instructs_ai"), F.col("boilerplate")).alias("action")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def _rule_scored(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(enrich.rule_scores(F.col("text")))
+
+
+@register("screen_blocks")
+def screen_blocks(spark: Spark, d: str) -> DataFrame:
+    """What screening decides about every screenable block of every document."""
+    return screening.decisions(_documents(spark, d), _rule_scored).select("doc_id", "paragraph_index", "char_start", "char_end", F.col("screened").alias("action"))
+
+
+@register("chunks_screened")
+def chunks_screened(spark: Spark, d: str) -> DataFrame:
+    """Chunks of the latest version of every document after screening, and the paragraphs that screening cut out."""
+    from loam.plans.pipeline import Pipeline
+
+    pipeline = Pipeline(spark)
+    return pipeline.chunk(pipeline.documents(_documents(spark, d))).drop("embed_text")
+
+
 @register("enrich_actions", f"WITH s AS (SELECT chunk_id, ingested_at, {_RULES} FROM chunks WHERE text IS NOT NULL), a AS (SELECT *, CASE WHEN instructs_ai >= 0.7 THEN 'quarantine' WHEN boilerplate >= 0.85 THEN 'drop_boilerplate' WHEN low_information >= 0.85 THEN 'drop_low_information' ELSE 'keep' END AS action FROM s) SELECT chunk_id, ingested_at, action, action = 'quarantine' AS quarantined, CASE WHEN starts_with(action, 'drop_') THEN action[6:] END AS dropped_reason FROM a", times=("ingested_at",))
 def enrich_actions(spark: Spark, d: str) -> DataFrame:
     return enrich.enrich(_scored_chunks(spark, d)).select("chunk_id", "ingested_at", "action", "quarantined", "dropped_reason")

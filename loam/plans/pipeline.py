@@ -16,7 +16,7 @@ from loam import __version__
 from loam.functions import text as tx
 from loam.functions import vectors
 from loam.functions.filters import Filter, conjunction
-from loam.operators import chunking, collection, enrich, retrieval
+from loam.operators import chunking, collection, enrich, retrieval, screening
 from loam.plans.config import Config
 from loam.plans.runtime import materialize
 from loam.sources import files
@@ -60,9 +60,10 @@ class Pipeline:
 
     def chunk(self, documents: DataFrame) -> DataFrame:
         """Screened, chunked, deduplicated and enriched chunks; dropped ones are marked, not removed."""
-        made = chunking.finish_chunks(chunking.chunk(documents, self.config.chunking), documents)
-        first = collection.exact_duplicates_removed(made, ["doc_id"], "content_hash", ["chunk_index"])
-        return enrich.enrich(self.scorer(first), self.config.enrich)
+        made, cut = screening.screened_chunks(documents, self.scorer, lambda docs: chunking.chunk(docs, self.config.chunking), self.config.enrich)
+        first = collection.exact_duplicates_removed(chunking.finish_chunks(made, documents), ["doc_id"], "content_hash", ["chunk_index"])
+        done = enrich.enrich(self.scorer(first), self.config.enrich)
+        return done if cut is None else done.unionByName(cut, allowMissingColumns=True)
 
     def ingest(self, sources: DataFrame | list[str], name: str, dry_run: bool = False) -> DataFrame:
         """Store new and changed documents, remove what they no longer have; a report per document."""

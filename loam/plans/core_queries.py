@@ -432,6 +432,12 @@ def chunks_fixed(spark: Spark, d: str) -> DataFrame:
     return chunking.chunk(_documents(spark, d), chunking.Config(method="fixed", target_tokens=160, max_tokens=256, overlap_tokens=40))
 
 
+@register("chunks_semantic")
+def chunks_semantic(spark: Spark, d: str) -> DataFrame:
+    priced = chunking.embedding_costs(_documents(spark, d), vectors.embedder("hash:256"))
+    return chunking.chunk(priced, chunking.Config(method="semantic-embedding"), "costs")
+
+
 @register("chunk_records")
 def chunk_records(spark: Spark, d: str) -> DataFrame:
     docs = _documents(spark, d)

@@ -39,8 +39,11 @@ def overlap_scorer(pairs: DataFrame) -> DataFrame:
 class Pipeline:
     """A configured pipeline on a session; collections live under ``config.store``."""
 
-    def __init__(self, spark: SparkSession, config: Config = Config(), scorer: Scorer = rule_scorer, query_scorer: Scorer = overlap_scorer) -> None:
-        self.spark, self.config, self.scorer, self.query_scorer = spark, config, scorer, query_scorer
+    def __init__(self, spark: SparkSession, config: Config = Config(), scorer: Scorer = rule_scorer, query_scorer: Scorer = overlap_scorer, gap_costs: Scorer | None = None) -> None:
+        """``gap_costs`` adds the column ``costs`` to documents (see ``chunking.chunk``); the method ``jev`` needs it."""
+        self.spark, self.config, self.scorer, self.query_scorer, self.gap_costs = spark, config, scorer, query_scorer, gap_costs
+        if config.chunking.method == "jev" and chunking.needs_costs(config.chunking) and gap_costs is None:
+            raise ValueError("chunking method 'jev' needs gap_costs, the model's answers about gaps")
         self.embed = vectors.embedder(config.embedder)
         self.dim = int(config.embedder.partition(":")[2] or 256)
 
@@ -58,9 +61,16 @@ class Pipeline:
         docs = docs.withColumns({"format": F.coalesce("format", F.lit("markdown")), "doc_hash": tx.doc_hash(F.col("text"), F.col("title"))})
         return collection.latest(docs, ["doc_id"], ["doc_hash"])
 
+    def _divided(self, documents: DataFrame) -> DataFrame:
+        cfg = self.config.chunking
+        if not chunking.needs_costs(cfg):
+            return chunking.chunk(documents, cfg)
+        priced = self.gap_costs(documents) if self.gap_costs else chunking.embedding_costs(documents, self.embed, cfg.max_tokens)
+        return chunking.chunk(priced, cfg, "costs")
+
     def chunk(self, documents: DataFrame) -> DataFrame:
         """Screened, chunked, deduplicated and enriched chunks; dropped ones are marked, not removed."""
-        made, cut = screening.screened_chunks(documents, self.scorer, lambda docs: chunking.chunk(docs, self.config.chunking), self.config.enrich)
+        made, cut = screening.screened_chunks(documents, self.scorer, self._divided, self.config.enrich)
         first = collection.exact_duplicates_removed(chunking.finish_chunks(made, documents), ["doc_id"], "content_hash", ["chunk_index"])
         done = enrich.enrich(self.scorer(first), self.config.enrich)
         return done if cut is None else done.unionByName(cut, allowMissingColumns=True)

@@ -29,6 +29,8 @@ DIM = 64
 TREES = 8
 #: Leaves a search visits over all trees, its own leaf in each tree among them.
 PROBES = 20
+#: The same where neighbours of any similarity count; distant ones are spread over more leaves.
+PROBES_ANY = 80
 LEAF = 400
 #: Vectors the trees are built on, at most.
 SAMPLE = 60_000

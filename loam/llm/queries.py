@@ -61,6 +61,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest(table(spark, d, "records"), 5, 0.9))
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar records of every record, however far."""
+    out = neighbours.nearest(table(spark, d, "records"), 5, -1.0, probes=neighbours.PROBES_ANY)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Headings, list items, code blocks and formulas of every exported document."""
     return markup.elements(table(spark, d, "documents").filter("kind = 'export'"))

@@ -147,3 +147,22 @@ def test_oversized_rows(spark):
     assert {r.id for r in out} == {1, 5} and all(r.piece_tokens <= 5 for r in out) and [r.section_path for r in out if r.id == 5][0] == ["x", "y"]
     assert [r.piece_text for r in out if r.id == 5][0] == "para one here."
     assert splitting.pieces(splitting.with_limits(df.limit(0), configs)).count() == 0
+
+
+def test_neighbours_of_any_similarity(spark, tmp_path):
+    import numpy as np
+
+    from loam.llm import queries
+
+    x = np.random.default_rng(3).normal(size=(1500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", v.tolist(), "2024-01-01 00:00:00") for i, v in enumerate(x)], "id string, vector array<float>, ingested_at string")
+    df.withColumn("ingested_at", F.col("ingested_at").cast("timestamp")).write.parquet(f"{tmp_path}/records.parquet")
+    got = {}
+    for r in queries.queries()["p5_neighbours"](spark, str(tmp_path)).collect():
+        got.setdefault(int(r.id), set()).add(int(r.other))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    best = np.argsort(-sim, axis=1)[:, :5]
+    assert len(got) == len(x) and all(len(v) == 5 for v in got.values()) and np.sort(sim, axis=1)[:, -5:].max() < 0.9
+    assert sum(len(got[i] & set(b.tolist())) for i, b in enumerate(best)) >= 0.9 * best.size

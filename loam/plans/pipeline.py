@@ -17,6 +17,7 @@ from loam.functions import text as tx
 from loam.functions import vectors
 from loam.functions.filters import Filter, conjunction
 from loam.operators import chunking, collection, enrich, retrieval, screening
+from loam.operators.enrich import Taxonomy
 from loam.plans.config import Config
 from loam.plans.runtime import materialize
 from loam.sources import files
@@ -44,6 +45,10 @@ class Pipeline:
         self.spark, self.config, self.scorer, self.query_scorer, self.gap_costs = spark, config, scorer, query_scorer, gap_costs
         if config.chunking.method == "jev" and chunking.needs_costs(config.chunking) and gap_costs is None:
             raise ValueError("chunking method 'jev' needs gap_costs, the model's answers about gaps")
+        if config.taxonomy != Taxonomy():
+            raise ValueError("config.taxonomy is set, but the pipeline computes no tags and routes no queries by them")
+        if config.retrieve.route != retrieval.Route():
+            raise ValueError("config.retrieve.route is set, but the pipeline does not route queries")
         self.embed = vectors.embedder(config.embedder)
         self.dim = int(config.embedder.partition(":")[2] or 256)
 

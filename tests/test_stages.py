@@ -188,3 +188,9 @@ def test_screening_cuts_paragraphs_and_keeps_their_neighbours(spark, tmp_path):
     assert rows[1].text == bad == text[rows[1].char_start : rows[1].char_end] and rows[1].section_path == "Billing"
     off = Pipeline(spark, config.build(config.Config, {"store": str(tmp_path), "embedder": "hash:16", "enrich": {"screen_paragraphs": "shadow"}}))
     assert {r.chunker for r in off.chunk(off.documents(docs)).collect()} == {"structural"}
+
+
+@pytest.mark.parametrize("values", [{"taxonomy": {"fields": [{"name": "product", "options": ["api", "other"], "route": True}]}}, {"retrieve": {"route": {"min_candidates": 2}}}])
+def test_pipeline_rejects_routing_and_tags(spark, values):
+    with pytest.raises(ValueError, match="taxonomy|route"):
+        Pipeline(spark, config.build(config.Config, values))

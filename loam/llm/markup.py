@@ -27,8 +27,6 @@ Block = tuple[str, str]
 
 ELEMENTS = ("heading", "list_item", "code", "formula")
 
-_SPACE = re.compile(r"\s+")
-
 # ---------------------------------------------------------------- recognition
 
 _SIGNS = {
@@ -61,7 +59,8 @@ def notation(text: str) -> str:
 
 
 def _squeeze(text: str) -> str:
-    return _SPACE.sub(" ", text).strip()
+    """Every run of white space is one space; none at the ends."""
+    return " ".join(text.split())
 
 
 # ---------------------------------------------------------------- HTML
@@ -177,17 +176,17 @@ _MD_SETEXT = re.compile(r"^\s{0,3}(=+|-+)\s*$")
 _MD_CODE_SPAN = re.compile(r"(`+)(.+?)(?<!`)\1(?!`)", re.S)
 _MD_MATH = re.compile(r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\\$\w])\$(?=[^\s$])((?:[^$\\]|\\.)+?)(?<=[^\s\\])\$(?![\d$])", re.S)
 _MD_INLINE = [
-    (re.compile(r"!\[[^\]]*\]\([^)]*\)"), ""),
-    (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"),
-    (re.compile(r"\[([^\]]+)\]\[[^\]]*\]"), r"\1"),
-    (re.compile(r"<(https?://[^>\s]+)>"), r"\1"),
-    (re.compile(r"</?[a-zA-Z][^<>]*>"), ""),
-    (re.compile(r"\*\*\*(\S(?:.*?\S)?)\*\*\*", re.S), r"\1"),
-    (re.compile(r"\*\*(\S(?:.*?\S)?)\*\*", re.S), r"\1"),
-    (re.compile(r"(?<!\w)__(\S(?:.*?\S)?)__(?!\w)", re.S), r"\1"),
-    (re.compile(r"(?<![\w*\\])\*([^\s*](?:[^*]*[^\s*])?)\*(?!\*)"), r"\1"),
-    (re.compile(r"(?<![\w\\])_([^\s_](?:[^_]*[^\s_])?)_(?!\w)"), r"\1"),
-    (re.compile(r"~~(\S(?:.*?\S)?)~~", re.S), r"\1"),
+    ("![", re.compile(r"!\[[^\]]*\]\([^)]*\)"), ""),
+    ("](", re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"),
+    ("][", re.compile(r"\[([^\]]+)\]\[[^\]]*\]"), r"\1"),
+    ("<http", re.compile(r"<(https?://[^>\s]+)>"), r"\1"),
+    ("<", re.compile(r"</?[a-zA-Z][^<>]*>"), ""),
+    ("***", re.compile(r"\*\*\*(\S(?:.*?\S)?)\*\*\*", re.S), r"\1"),
+    ("**", re.compile(r"\*\*(\S(?:.*?\S)?)\*\*", re.S), r"\1"),
+    ("__", re.compile(r"(?<!\w)__(\S(?:.*?\S)?)__(?!\w)", re.S), r"\1"),
+    ("*", re.compile(r"(?<![\w*\\])\*([^\s*](?:[^*]*[^\s*])?)\*(?!\*)"), r"\1"),
+    ("_", re.compile(r"(?<![\w\\])_([^\s_](?:[^_]*[^\s_])?)_(?!\w)"), r"\1"),
+    ("~~", re.compile(r"~~(\S(?:.*?\S)?)~~", re.S), r"\1"),
 ]
 _MD_ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -202,9 +201,13 @@ def _md_inline(text: str, keep_code_marks: bool) -> str:
 
     if "`" in text:
         text = _MD_CODE_SPAN.sub(hide, text)
-    for pattern, by in _MD_INLINE:
-        text = pattern.sub(by, text)
-    text = html.unescape(_MD_ESCAPE.sub(r"\1", text))
+    for sign, pattern, by in _MD_INLINE:
+        if sign in text:
+            text = pattern.sub(by, text)
+    if "\\" in text:
+        text = _MD_ESCAPE.sub(r"\1", text)
+    if "&" in text:
+        text = html.unescape(text)
     if spans:
         text = re.sub("\x00(\\d+)\x01", lambda m: spans[int(m[1])], text)
     return _squeeze(text)
@@ -331,12 +334,13 @@ _CODE_TAG = re.compile(r"</?(?:code|tt|kbd|samp)\b[^<>]*>", re.I)
 
 
 def _wiki_inline(text: str, keep_code_marks: bool) -> str:
-    for pattern, by in _WIKI_INLINE:
+    for pattern, by in _WIKI_INLINE if "[" in text or "''" in text else ():
         text = pattern.sub(by, text)
-    if keep_code_marks:
-        text = _CODE_TAG.sub("`", text)
-    text = _ANY_TAG.sub("", text)
-    return _squeeze(html.unescape(text))
+    if "<" in text:
+        if keep_code_marks:
+            text = _CODE_TAG.sub("`", text)
+        text = _ANY_TAG.sub("", text)
+    return _squeeze(html.unescape(text) if "&" in text else text)
 
 
 def wiki_blocks(text: str, keep_code_marks: bool = False) -> list[Block]:
@@ -482,12 +486,12 @@ def latex_blocks(text: str, keep_code_marks: bool = False) -> list[Block]:
 _GRAMMARS = {"html": html_blocks, "markdown": markdown_blocks, "wiki": wiki_blocks, "latex": latex_blocks}
 
 
-def blocks(text: str | None, keep_code_marks: bool = False) -> list[Block]:
-    """Typed blocks of a marked-up text in reading order; none for a missing or empty text."""
+def blocks(text: str | None, keep_code_marks: bool = False, form: str | None = None) -> list[Block]:
+    """Typed blocks of a marked-up text in reading order; none for a missing or empty text. ``form`` is its notation if known."""
     if not text or not text.strip():
         return []
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "")
-    return _GRAMMARS[notation(text)](text, keep_code_marks)
+    return _GRAMMARS[form or notation(text)](text, keep_code_marks)
 
 
 def clean_text(text: str | None) -> str:

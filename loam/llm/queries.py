@@ -49,11 +49,12 @@ def p4_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_chunk_text(spark: SparkSession, d: str) -> DataFrame:
     """The main body of every current chunk cut from a page."""
-    pages = table(spark, d, "documents").filter("kind = 'page'").select("doc_id", "title")
+    whole = table(spark, d, "documents").filter("kind = 'page'")
+    pages = whole.select("doc_id", "title", "site")
     chunks = table(spark, d, "chunks")
     last = chunks.groupBy("chunk_id").agg(F.max("ingested_at").alias("ingested_at"))
     current = chunks.join(last, ["chunk_id", "ingested_at"], "left_semi").join(pages, "doc_id").dropDuplicates(["chunk_id"])
-    return boilerplate.main_texts(current, "chunk_id", "text", "title")
+    return boilerplate.main_texts(current, "chunk_id", "text", "title", model=boilerplate.line_model(whole))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +161,9 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_messages(spark: SparkSession, d: str) -> DataFrame:
     """The distinct messages concerned, with the documents and sources they occur in."""
-    return residue.recurring(residue.scan(table(spark, d, "documents"))).select("class", "message", "docs", "sources")
+    documents = table(spark, d, "documents")
+    words = residue.filler_words(documents)
+    return residue.recurring(residue.scan(documents, words), words).select("class", "message", "docs", "sources")
 
 
 _P3 = """

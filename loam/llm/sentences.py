@@ -232,15 +232,11 @@ def language(lang: str | None) -> str | None:
     return code if code in ALWAYS else None
 
 
-def sentences(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
-    """Sentences of a text as (start, end) in code points; none for a missing or empty text.
-
-    ``lang`` chooses the abbreviations; an unknown language uses those of all languages.
-    """
+def each_sentence(text: str | None, lang: str | None = None) -> Iterator[tuple[int, int]]:
+    """Sentences of a text in order, one at a time; see ``sentences``."""
     if not text:
-        return []
+        return
     words = _ALWAYS.get(language(lang), _ALL)
-    out: list[tuple[int, int]] = []
     for start, end in text_segments(text):
         if start >= end:
             continue
@@ -248,8 +244,15 @@ def sentences(text: str | None, lang: str | None = None) -> list[tuple[int, int]
         if _HAS_UNSPACED.search(text, start, end):
             pieces += _split_unspaced(text, start, end)
         for a, b in zip(pieces, [*pieces[1:], end], strict=True):
-            out.extend(_split(text, a, b, words))
-    return out
+            yield from _split(text, a, b, words)
+
+
+def sentences(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
+    """Sentences of a text as (start, end) in code points; none for a missing or empty text.
+
+    ``lang`` chooses the abbreviations; an unknown language uses those of all languages.
+    """
+    return list(each_sentence(text, lang))
 
 
 def _batches(columns: list[str]):

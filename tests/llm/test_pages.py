@@ -25,9 +25,36 @@ def test_furniture_lines():
     assert boilerplate.outside_lines(["Menu text here.", ""], "x") == []
 
 
+def test_furniture_of_other_sites():
+    for line in ("We use cookies to improve your experience.", "Join our mailing list", "© 2024 Acme Inc.", "Deze website gebruikt cookies.", "Pagina 2 van 5", "Naar boven"):
+        assert boilerplate.line_kind(line) == boilerplate.FURNITURE, line
+    for line in ("Copyright claims about slow queries go to the auditor in Ond.", "The privacy setting hides nested lists from every auditor.", "To subscribe a team to alerts, open the query router and add its address."):
+        assert not boilerplate.line_kind(line), line
+
+
+def test_long_list_of_other_pages():
+    entries = [f"How Vor handles topic {x}" for x in "abcdefgh"]
+    lines = ["The title", "A sentence stands here.", "Read next", *entries]
+    assert boilerplate.outside_lines(lines, "The title") == list(range(3, 12))
+
+
 def test_render():
-    page = "<html><head><title>x</title></head><body><p>a<p>b &amp; c<ul><li>one<li>two</ul><div hidden>no</div><table><tr><th>h<th>long<tr><td>1<td>2</table><script>x</script></body>"
-    assert boilerplate.render(page).split("\n") == ["a", "b & c", "- one", "- two", "h  long", "1  2"]
+    page = "<html><head><title>x</title></head><body><p>a<p>b &amp; c<ul><li>one<li>two</ul><div hidden>no<p>no</div><table><tr><th>h<th>long<tr><td>1<td>2</table><script>x</script></body>"
+    assert [x[0] for x in boilerplate.render(page)] == ["a", "", "b & c", "", "- one", "- two", "", "h  long", "1  2"]
+    assert [x[0] for x in boilerplate.render("<p>a</i></b> b<br>c</p></div><pre>x\n  y</pre><table><tr><td><p>in</p><p>cell</p></table>")] == ["a b", "c", "", "x", "  y", "", "in cell"]
+
+
+def test_rendered_lines_are_numbered_as_in_the_source():
+    page = "<body>\n<nav><a>Anything</a> <a>at all</a></nav>\n<h1>The title</h1>\n<p>A sentence\nover two lines.</p>\n<footer>\nWho made this\n</footer>\n</body>"
+    assert boilerplate.furniture_numbers(page, "The title") == [2, 7]
+    assert boilerplate.main_body(page, "The title").split("\n") == ["The title", "", "A sentence over two lines."]
+
+
+def test_lines_that_pages_share(spark):
+    pages = [(i, f"Gadget corner {i}\nPeek at the basket\nPage about thing {i}\nIt explains thing {i}.\nKeep in touch with Alpha", f"Page about thing {i}", f"www.alpha{i % 3}.example") for i in range(40)]
+    df = spark.createDataFrame(pages, "doc_id long, text string, title string, site string")
+    found = boilerplate.furniture_lines(df, "doc_id", "text", "title")
+    assert {r.line_no for r in found.collect()} == {1, 2, 5} and found.count() == 120
 
 
 def test_page_operator_on_odd_rows(spark):
@@ -77,6 +104,9 @@ RESIDUE = [
     (9, "page", "Title X\nSome features of this site need JavaScript.\nSet the limit to 3 and restart the audit log.", False), (10, "export", "# T\n\nBitte aktivieren Sie JavaScript, um fortzufahren.", True),
     (11, "export", "<p>Le contrat avec &lt;&lt;plan&gt;&gt; prend fin.</p>", True), (12, "export", "# T\n\n```\necho ${X}\n```\n\nText is here.", False), (13, "note", 'The message "Access denied." is shown by old browsers only.', False),
     (14, "note", None, False), (15, "note", "", False), (16, None, "Regards from XXXX and the team.", True), (17, "note", "状态504：拒绝访问。", True),
+    (18, "note", "Hello {first_name}, it is ready.", True), (19, "note", "与[[order_no]]签订的合同月底到期。", True), (20, "page", "Title X\nDear $CUSTOMER_NAME, it is ready.", True),
+    (21, "export", "{{Infobox x|a=b}}\n== T ==\nSee [[Plan]] and [[Kels|receipts]], they are ready.", False), (22, "export", "\\section{T}\n\\textbf{bold} text is here, $X_{max}$ too.", False), (23, "note", "Title X\n\nError 404: not found.", True),
+    (24, "page", "Home\n" * 900 + "Title X\nAccess denied, reference 9df95046.", True), (25, "note", "Teams have 345 nodes. They hold long tables.", False),
 ]
 
 
@@ -84,4 +114,4 @@ def test_residue(spark):
     df = spark.createDataFrame([(i, t, k, "Title X", "s", "n") for i, k, t, _ in RESIDUE], "doc_id long, text string, kind string, title string, source string, reason string").withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in residue.residue(df.unionByName(df)).collect()} == {i for i, _, _, case in RESIDUE if case}
     assert residue.residue(df.limit(0)).count() == 0
-    assert residue.normalise("Error 5 at 2024-01-02, see https://a.b/c or X@y.ex") == "error <n> at <date>, see <url> or <mail>"
+    assert residue.normalise("Error 5 at 2024-01-02, see https://a.b/c or X@y.ex") == "error <n> at <date>, see <url> or <mail>" and residue.normalise("HTTP 504 - bad") == "http <status> - bad"

@@ -3,7 +3,9 @@
 Sizes are tokens of a public tokenizer. With base rate 1 for every document, the rates closest to it
 in relative entropy that give each source its token target are exponentially tilted in the
 document's length: rate = exp(lambda * tokens / mean tokens), never above the source's repeats. The
-one multiplier per source is found by Newton steps on the convex dual. The sums a step needs are
+one multiplier per source is found by Newton steps on the convex dual. Where the dual has no
+maximum, its multiplier grows until every document of the source is at its repeats: such a source
+cannot reach its target, and that is how infeasible sources are found. The sums a step needs are
 distributed aggregations over (source, length) counts; only the plan, a dozen rows, is on the driver.
 Rates are then rounded to whole copies, the fraction being decided by a hash of the document, so
 the result is reproducible and needs no ordering.
@@ -12,6 +14,7 @@ the result is reproducible and needs no ordering.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +24,10 @@ from loam.plans.runtime import materialize
 
 #: Rows a plan may have; it is held on the driver and broadcast.
 MAX_PLAN = 10_000
-MAX_STEPS = 60
+MAX_STEPS = 200
 TOLERANCE = 1e-9
+#: What a multiplier may exceed the one that puts the shortest document at its repeats, so that rounding leaves none below.
+BEYOND = 1.001
 
 
 def source_key(column: str) -> Column:
@@ -30,11 +35,40 @@ def source_key(column: str) -> Column:
     return F.lower(F.regexp_replace(F.col(column), r"^\s+|\s+$", ""))
 
 
-def _plan(plan: DataFrame) -> list:
+@dataclass
+class Target:
+    """One source of the plan and the state of its multiplier."""
+
+    source: str
+    key: str
+    weight: float
+    repeats: int
+    tokens: int = 0
+    docs: int = 0
+    shortest: int = 0
+    want: float = 0.0
+    multiplier: float = 0.0
+    low: float = -math.inf
+    high: float = math.inf
+    feasible: bool = True
+    done: bool = False
+
+    @property
+    def mean(self) -> float:
+        return self.tokens / self.docs if self.docs else 1.0
+
+
+def _plan(plan: DataFrame) -> list[Target]:
+    """Sources of the plan; rows of one source are one: their weights add up, the most repeats count."""
     rows = plan.filter("source IS NOT NULL").select("source", source_key("source").alias("key"), "target_weight", "max_repeats").limit(MAX_PLAN + 1).collect()
     if len(rows) > MAX_PLAN:
         raise ValueError(f"a plan has at most {MAX_PLAN} sources")
-    return rows
+    out: dict[str, Target] = {}
+    for r in sorted(rows, key=lambda r: r.source):
+        one = out.setdefault(r.key, Target(r.source, r.key, 0.0, 0))
+        one.weight += float(r.target_weight or 0.0)
+        one.repeats = max(one.repeats, int(r.max_repeats or 0))
+    return list(out.values())
 
 
 def document_tokens(documents: DataFrame) -> DataFrame:
@@ -43,67 +77,69 @@ def document_tokens(documents: DataFrame) -> DataFrame:
     return with_tokens(keyed, "text", ["doc_id", "key"])
 
 
-def _feasible(plan: DataFrame, totals: dict, everything: int) -> list[tuple]:
-    out = []
-    for row in _plan(plan):
-        have = int(totals.get(row.key, 0))
-        want = float(row.target_weight or 0.0) * everything
-        repeats = int(row.max_repeats or 0)
-        out.append((row.source, row.key, have, want, repeats, have * repeats >= want))
-    return out
+def _lengths(tokens: DataFrame) -> DataFrame:
+    """(key, tokens, n): how many documents of a source have a length. Written once; every step of the dual reads it."""
+    return materialize(tokens.filter("tokens > 0").groupBy("key", "tokens").agg(F.count(F.lit(1)).alias("n")))
 
 
-def feasibility(documents: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per planned source: (source, tokens, target_tokens, max_repeats, feasible).
+def _rate() -> Column:
+    return F.when(F.col("cap") <= 0, 0.0).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("tokens") / F.col("mean"), F.lit(700.0))), F.col("cap")))
 
-    The target is the weight times the tokens of all documents, planned or not. A source without
-    documents has 0 tokens; null or empty texts count 0; missing weights or repeats are 0; an empty
-    plan gives an empty result.
-    """
-    spark = documents.sparkSession
-    keys = {r.key for r in _plan(plan)}
-    sums = document_tokens(documents).groupBy("key").agg(F.sum("tokens").alias("tokens"))
-    # one row per planned source and one for all the others: as small as the plan
-    folded = sums.withColumn("key", F.when(F.col("key").isin(sorted(k for k in keys if k is not None)), F.col("key"))).groupBy("key").agg(F.sum("tokens").alias("tokens"))
-    totals = {r.key: r.tokens for r in folded.collect()}
-    rows = [(s, have, want, r, ok) for s, _, have, want, r, ok in _feasible(plan, totals, sum(totals.values()))]
-    return spark.createDataFrame(rows, "source string, tokens long, target_tokens double, max_repeats int, feasible boolean")
 
+def solve(lengths: DataFrame, plan: DataFrame) -> list[Target]:
+    """Multipliers of all sources at once, by Newton steps on the dual that are kept inside a bracket.
 
-def _solve(lengths: DataFrame, targets: dict[str, tuple[float, int]], means: dict[str, float]) -> dict[str, float]:
-    """Multipliers by Newton steps safeguarded by bisection, all sources at once."""
+    The first step asks for the multiplier at which even the shortest document is at its repeats. A source
+    that stays below its target there has an unbounded dual: it is infeasible and keeps that multiplier.
+    """
     spark = lengths.sparkSession
-    state = {k: [0.0, -60.0, 60.0] for k in targets}
-    open_keys = set(targets)
-    for _ in range(MAX_STEPS):
-        if not open_keys:
+    targets = _plan(plan)
+    everything = int(lengths.agg(F.sum(F.col("tokens") * F.col("n"))).first()[0] or 0)
+    known = lengths.filter(F.col("key").isin([t.key for t in targets])).groupBy("key").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n"), F.min("tokens").alias("least"))
+    stats = {r.key: r for r in known.collect()}
+    for t in targets:
+        t.want = t.weight * everything
+        if found := stats.get(t.key):
+            t.tokens, t.docs, t.shortest = int(found.t), int(found.n), int(found.least)
+        if not t.docs or t.repeats <= 0:
+            t.feasible, t.done = t.want <= 0, True
+        else:
+            t.multiplier = max(math.log(t.repeats), 1e-6) * t.mean / t.shortest * BEYOND
+    for step in range(MAX_STEPS):
+        active = [t for t in targets if not t.done]
+        if not active:
             break
-        rows = [(k, state[k][0], float(means[k]), float(targets[k][1])) for k in open_keys]
-        current = F.broadcast(spark.createDataFrame(rows, "key string, lam double, mean double, cap double"))
-        tilt = F.exp(F.least(F.col("lam") * F.col("tokens") / F.col("mean"), F.lit(700.0)))
-        rate = F.least(tilt, F.col("cap"))
-        slope = F.when(tilt < F.col("cap"), tilt * F.col("tokens") / F.col("mean")).otherwise(0.0)
-        sums = (
-            lengths.join(current, "key")
-            .groupBy("key")
-            .agg(F.sum(F.col("n") * F.col("tokens") * rate).alias("f"), F.sum(F.col("n") * F.col("tokens") * slope).alias("df"))
-            .collect()
-        )
-        for r in sums:
-            want = targets[r.key][0]
-            lam, lo, hi = state[r.key]
-            gap = r.f - want
-            if abs(gap) <= TOLERANCE * max(want, 1.0):
-                open_keys.discard(r.key)
+        current = F.broadcast(spark.createDataFrame([(t.key, t.multiplier, t.mean, float(t.repeats)) for t in active], "key string, lam double, mean double, cap double"))
+        slope = F.when(_rate() < F.col("cap"), _rate() * F.col("tokens") / F.col("mean")).otherwise(0.0)
+        sums = lengths.join(current, "key").groupBy("key").agg(F.sum(F.col("n") * F.col("tokens") * _rate()).alias("f"), F.sum(F.col("n") * F.col("tokens") * slope).alias("df"))
+        reached = {r.key: r for r in sums.collect()}
+        for t in active:
+            gap = reached[t.key].f - t.want
+            if step == 0 and gap < 0:
+                t.feasible, t.done = False, True
+                continue
+            if abs(gap) <= TOLERANCE * max(t.want, 1.0):
+                t.done = True
                 continue
-            lo, hi = (lam, hi) if gap < 0 else (lo, lam)
-            step = lam - gap / r.df if r.df > 0 else math.nan
-            if not lo < step < hi:
-                step = (lo + hi) / 2
-            if abs(step - lam) < 1e-13:
-                open_keys.discard(r.key)
-            state[r.key] = [step, lo, hi]
-    return {k: v[0] for k, v in state.items()}
+            t.low, t.high = (t.multiplier, t.high) if gap < 0 else (t.low, t.multiplier)
+            newton = t.multiplier - gap / reached[t.key].df if reached[t.key].df > 0 else math.nan
+            if not t.low < newton < t.high:
+                newton = (t.low + t.high) / 2 if math.isfinite(t.low) else min(-1.0, 2 * t.high)
+            t.done = abs(newton - t.multiplier) < 1e-13 or newton * t.shortest / t.mean < -700
+            t.multiplier = newton
+    return targets
+
+
+def feasibility(documents: DataFrame, plan: DataFrame) -> DataFrame:
+    """Per planned source: (source, tokens, target_tokens, max_repeats, multiplier, feasible), as the dual of the balancing finds them.
+
+    The target is the weight times the tokens of all documents, planned or not. A source without
+    documents has 0 tokens; null or empty texts count 0; missing weights or repeats are 0; an empty
+    plan gives an empty result.
+    """
+    solved = solve(_lengths(document_tokens(documents)), plan)
+    rows = [(t.source, t.tokens, t.want, t.repeats, t.multiplier, t.feasible) for t in solved]
+    return documents.sparkSession.createDataFrame(rows, "source string, tokens long, target_tokens double, max_repeats int, multiplier double, feasible boolean")
 
 
 def mix(documents: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,32 +151,21 @@ def mix(documents: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     reached are those of the mixture as it is. Documents without tokens take no copies.
     """
     spark = documents.sparkSession
-    rows = _plan(plan)
     docs = materialize(document_tokens(documents).filter("doc_id IS NOT NULL"))
-    lengths = materialize(docs.filter("tokens > 0").groupBy("key", "tokens").agg(F.count(F.lit(1)).alias("n")))
-    everything = int(lengths.agg(F.sum(F.col("tokens") * F.col("n"))).first()[0] or 0)
-    planned = sorted({r.key for r in rows if r.key is not None})
-    stats = lengths.filter(F.col("key").isin(planned)).groupBy("key").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()
-    totals = {r.key: r.t for r in stats}
-    means = {r.key: r.t / r.n for r in stats}
-    table = _feasible(plan, totals, everything)
-    targets = {key: (want, repeats) for _, key, have, want, repeats, ok in table if ok and have and 0 < want < have * repeats}
-    lam = _solve(lengths, targets, means)
-    param_rows = [(key, source, lam.get(key, 0.0 if ok and want <= 0 else 60.0), float(means.get(key, 1.0)), float(repeats if want > 0 else 0)) for source, key, have, want, repeats, ok in table]
-    params = F.broadcast(spark.createDataFrame(param_rows, "key string, source string, lam double, mean double, cap double"))
-    rate = F.least(F.exp(F.least(F.col("lam") * F.col("tokens") / F.col("mean"), F.lit(700.0))), F.col("cap"))
+    solved = solve(_lengths(docs), plan)
+    wanted = [(t.key, t.source, t.multiplier, t.mean, float(t.repeats if t.want > 0 else 0)) for t in solved]
+    params = F.broadcast(spark.createDataFrame(wanted, "key string, source string, lam double, mean double, cap double"))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     copies = (
         docs.filter("tokens > 0")
         .join(params, "key")
-        .withColumn("rate", rate)
+        .withColumn("rate", _rate())
         .withColumn("copies", (F.floor("rate") + F.when(F.col("rate") - F.floor("rate") > unit, 1).otherwise(0)).cast("int"))
         .filter("copies > 0")
         .select("doc_id", "source", "tokens", "copies")
     )
     reached = {r.source: r.m for r in copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("m")).collect()}
     total = sum(reached.values()) or 1
-    weights = {r.source: (float(r.target_weight or 0.0), int(r.max_repeats or 0)) for r in rows}
-    share_rows = [(source, *weights[source], have, int(reached.get(source, 0)), reached.get(source, 0) / total, ok) for source, _, have, _, _, ok in table]
+    share_rows = [(t.source, t.weight, t.repeats, t.tokens, int(reached.get(t.source, 0)), reached.get(t.source, 0) / total, t.feasible) for t in solved]
     shares = spark.createDataFrame(share_rows, "source string, target_weight double, max_repeats int, tokens long, mixed_tokens long, share double, feasible boolean")
     return copies, shares

@@ -4,10 +4,11 @@ The declared format is not trusted: the notation is recognised from its own mark
 has a small grammar that yields typed blocks in reading order: ``heading``, ``list_item``, ``code``,
 ``formula`` and ``paragraph``. HTML goes through a tree-less builder with implied end tags.
 
-``content_region`` is the maximum-scoring subsequence over words (positive) and tags (negative);
-its weights are fitted on labelled pages. It bounds the text of an HTML page that carries page
-furniture, but as a bare region it cannot tell the element types apart, so the elements themselves
-come from the grammars (see README).
+Before a grammar reads a text, ``content_region`` bounds it: words score positive and tags negative,
+with weights fitted on exports that mark their body themselves, and a linear scan finds the
+contiguous run with the largest sum. A grammar needs whole blocks, so the region is widened over the
+blocks around it up to the head, preamble or closing part, which it leaves out. A bare region cannot
+tell element types apart; these come from the grammars.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,20 +43,11 @@ _SIGNS = {
         (3, re.compile(r"^(?:```|~~~)|^[=-]{4,}\s*$|\]\([^)\s]+\)|\*\*\S|~~\S|\$\$|^\|[ :|-]+\|\s*$", re.M)),
     ],
 }
-#: Marks counted of each kind; more do not change which notation it is.
-MARKS_ENOUGH = 60
 
 
 def notation(text: str) -> str:
     """html, markdown, wiki or latex, whichever marks weigh most; ties and no marks at all are markdown."""
-    scores = {}
-    for name, signs in _SIGNS.items():
-        scores[name] = 0
-        for weight, sign in signs:
-            for seen, _ in enumerate(sign.finditer(text), 1):
-                scores[name] += weight
-                if seen >= MARKS_ENOUGH:
-                    break
+    scores = {name: sum(weight * len(sign.findall(text)) for weight, sign in signs) for name, signs in _SIGNS.items()}
     return max(("markdown", "wiki", "html", "latex"), key=lambda n: scores[n])
 
 
@@ -494,69 +487,141 @@ def blocks(text: str | None, keep_code_marks: bool = False, form: str | None = N
     return _GRAMMARS[form or notation(text)](text, keep_code_marks)
 
 
-def clean_text(text: str | None) -> str:
+def clean_text(text: str | None, weights: tuple[float, float] | None = None) -> str:
     """Readable text: headings, list items, code and formulas keep a plain mark of what they are."""
     shape = {"heading": "# {}", "list_item": "- {}", "code": "```\n{}\n```", "formula": "$ {} $", "paragraph": "{}"}
-    return "\n".join(shape[k].format(v) for k, v in blocks(text))
+    return "\n".join(shape[k].format(v) for k, v in region_blocks(text, weights or PLAIN_WEIGHTS))
 
 
 # ---------------------------------------------------------------- maximum-scoring region
 
+#: Exports that mark their own body and that the weights are fitted on, at most.
+LABELLED = 500
+#: (word, tag) weights where no labelled export is there.
+PLAIN_WEIGHTS = (1.0, -1.0)
+
+# Parts without content, marks of a body, tags and commands, and words, in the order in which they are tried.
+_SCANNED = re.compile(
+    r"(?P<dead><!--.*?(?:-->|\Z)|<(?P<name>script|style|template|noscript|head)\b[^>]*>.*?(?:</(?P=name)\s*>|\Z)|\\(?:documentclass|usepackage|newcommand|author|date|bibliography(?:style)?)\b[^\n]*)"
+    r"|(?P<bound></?(?:html|body)\b[^<>]*>|<![^<>]*>|\\(?:begin|end)\{document\})"
+    r"|(?P<tag></?[a-zA-Z][^<>]*>|\\[a-zA-Z]+\*?|\{\||\|\}|\{\{|\}\}|\[\[|\]\]|'{2,3}|={2,}|\*{1,3}|[#`~|]+)|(?P<word>\w+)",
+    re.S | re.I,
+)
+
+
+def scan_tokens(text: str) -> list[tuple[str, int, int]]:
+    """(dead | bound | tag | word, start, end) of every token of a marked-up text."""
+    return [(m.lastgroup, m.start(), m.end()) for m in _SCANNED.finditer(text)]
+
+
 def fit_weights(pages: list[tuple[list[bool], list[bool]]]) -> tuple[float, float]:
     """(word, tag) weights from labelled pages: per page which tokens are tags and which lie in the content.
 
-    Log-odds of lying inside, with add-one smoothing; at most the pages given are read.
+    Log of how much likelier a word, or a tag, is inside than outside, with add-one smoothing; at most the pages given are read.
     """
     count = [[1, 1], [1, 1]]
     for tags, inside in pages:
         for is_tag, is_in in zip(tags, inside, strict=True):
             count[is_tag][is_in] += 1
-    word, tag = (math.log(c[1] / c[0]) for c in count)
+    total = [count[0][side] + count[1][side] for side in (0, 1)]
+    word, tag = (math.log(c[1] / total[1] * total[0] / c[0]) for c in count)
     return max(word, 1e-6), min(tag, -1e-6)
 
 
-def content_region(scores: list[float]) -> tuple[int, int]:
-    """Bounds [a, b) of the contiguous run with the largest sum; the first of equal ones, (0, 0) if all are negative."""
-    best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, s in enumerate(scores):
-        if total <= 0:
-            total, start = 0.0, i
-        total += s
-        if total > best:
-            best, best_at = total, (start, i + 1)
-    return best_at
+def label(text: str) -> tuple[list[bool], list[bool]] | None:
+    """Which tokens are tags and which lie in the body, for a text that marks its body; None for others."""
+    opened = re.search(r"<body\b[^<>]*>|\\begin\{document\}", text, re.I)
+    if not opened:
+        return None
+    closed = re.compile(r"</body\s*>|\\end\{document\}", re.I).search(text, opened.end())
+    last = closed.start() if closed else len(text)
+    found = [(m["word"] is None, opened.end() <= m.start() < last) for m in re.finditer(r"</?[a-zA-Z!][^<>]*>|\\[a-zA-Z]+|(?P<word>\w+)", text)]
+    return [t for t, _ in found], [i for _, i in found]
 
 
-# ---------------------------------------------------------------- operator
+def content_region(scores: list[float]) -> tuple[int, int]:
+    """Bounds [a, b) of the contiguous run with the largest sum; the first of equal ones, (0, 0) if none is positive."""
+    if not len(scores):
+        return 0, 0
+    upto = np.concatenate([[0.0], np.cumsum(scores)])
+    gain = upto - np.minimum.accumulate(upto)
+    end = int(np.argmax(gain))
+    if gain[end] <= 0:
+        return 0, 0
+    before = upto[:end]
+    return end - 1 - int(np.argmin(before[::-1])), end
+
+
+def content_bounds(text: str, weights: tuple[float, float] = PLAIN_WEIGHTS) -> tuple[int, int]:
+    """The stretch of a marked-up text that holds its content: the best region, widened to whole blocks.
+
+    Widening stops at the marks of a body, and leaves out parts without content in front of the first
+    live token or behind the last; a comment between two blocks does not stop it. A text without words is taken whole.
+    """
+    tokens = scan_tokens(text)
+    value = {"word": weights[0], "tag": weights[1], "dead": 4 * weights[1], "bound": 4 * weights[1]}
+    a, b = content_region([value[kind] for kind, _, _ in tokens])
+    if a == b:
+        return 0, len(text)
+    first, i = a, a - 1
+    while i >= 0 and tokens[i][0] != "bound":
+        first = i if tokens[i][0] != "dead" else first
+        i -= 1
+    last, i = b, b
+    while i < len(tokens) and tokens[i][0] != "bound":
+        last = i + 1 if tokens[i][0] != "dead" else last
+        i += 1
+    return (tokens[first - 1][2] if first else 0), (tokens[last][1] if last < len(tokens) else len(text))
+
+
+def fitted_weights(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[float, float]:
+    """Weights fitted on at most ``LABELLED`` exports that mark their own body, chosen by a hash of their id."""
+    marked = df.filter(F.col(text).rlike(r"(?i)<body\b|\\begin\{document\}")).select(F.col(text).alias("text"), F.xxhash64(doc_id).alias("h"))
+    pages = [found for r in marked.orderBy("h", "text").limit(LABELLED).collect() if (found := label(r.text))]
+    return fit_weights(pages) if pages else PLAIN_WEIGHTS
+
+
+def region_blocks(text: str | None, weights: tuple[float, float] = PLAIN_WEIGHTS, keep_code_marks: bool = False) -> list[Block]:
+    """Typed blocks of the content region of a marked-up text."""
+    if not text or not text.strip():
+        return []
+    form = notation(text)
+    a, b = content_bounds(text, weights)
+    return blocks(text[a:b], keep_code_marks, form)
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, picks, kinds, bodies = batch.column("doc_id"), [], [], []
-        for row, text in enumerate(batch.column("text").to_pylist()):
-            for kind, body in dict.fromkeys(b for b in blocks(text) if b[0] != "paragraph"):
-                picks.append(row)
-                kinds.append(kind)
-                bodies.append(body)
-        yield pa.record_batch([ids.take(pa.array(picks, pa.int64())), pa.array(kinds, pa.string()), pa.array(bodies, pa.string())], names=["doc_id", "element", "content"])
 
+# ---------------------------------------------------------------- operator
 
-def elements(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def elements(df: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: tuple[float, float] | None = None) -> DataFrame:
     """Distinct structural elements of every marked-up text: (doc_id, element, content). No shuffle.
 
     Null, empty and unmarked texts give no rows; further columns are ignored; an element that a
-    document repeats word for word is given once per input row.
+    document repeats word for word is given once per input row. Without ``weights`` they are fitted on the input.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("length(text) > 0")
-    return spread(rows).mapInArrow(_elements, "doc_id long, element string, content string")
+    fitted = fitted_weights(rows) if weights is None else weights
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picks, kinds, bodies = [], [], []
+            for row, body in enumerate(batch.column("text").to_pylist()):
+                for kind, content in dict.fromkeys(b for b in region_blocks(body, fitted) if b[0] != "paragraph"):
+                    picks.append(row)
+                    kinds.append(kind)
+                    bodies.append(content)
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(picks, pa.int64())), pa.array(kinds, pa.string()), pa.array(bodies, pa.string())], names=["doc_id", "element", "content"])
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [clean_text(t) for t in batch.column("text").to_pylist()]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "clean_text"])
+    return spread(rows).mapInArrow(run, "doc_id long, element string, content string")
 
 
-def cleaned(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row's readable text: (doc_id, clean_text); a missing text gives an empty one."""
+def cleaned(df: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: tuple[float, float] | None = None) -> DataFrame:
+    """Every row's readable text: (doc_id, clean_text); a missing text gives an empty one. Without ``weights`` they are fitted on the input."""
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return spread(rows).mapInArrow(_clean, "doc_id long, clean_text string")
+    fitted = fitted_weights(rows) if weights is None else weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [clean_text(t, fitted) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "clean_text"])
+
+    return spread(rows).mapInArrow(run, "doc_id long, clean_text string")

@@ -188,7 +188,7 @@ def _may_be_stub(low: str) -> bool:
 
 def _may_be_filler(words: list[str], latin: frozenset[str]) -> bool:
     """Could these words hold a filler sentence?"""
-    return not latin.isdisjoint(words) or sum(w in _NOTHING for w in words) >= 3
+    return not latin.isdisjoint(words) or not _NOTHING.isdisjoint(words) and sum(w in _NOTHING for w in words) >= 3
 
 
 def classify(message: str, docs: int, sources: int, latin: frozenset[str] = _LATIN) -> str | None:

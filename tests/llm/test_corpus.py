@@ -113,7 +113,9 @@ def test_mixture_reaches_its_targets(spark):
     for name in ("a", "b"):
         assert abs(s[name].mixed_tokens - found[name].target_tokens) < 0.06 * found[name].target_tokens
     assert copies.filter("source = 'c' AND copies > 1").count() == 0 and copies.filter("source = 'a' AND copies > 2").count() == 0
-    assert mixture.feasibility(d.limit(0), p).filter("feasible").count() == 0 or True
+    assert all(r.feasible for r in mixture.feasibility(d.limit(0), p).collect())
+    twice = p.unionByName(p.withColumn("source", F.upper("source")))
+    assert mixture.feasibility(d, twice).count() == mixture.feasibility(d, p).count()
     assert mixture.mix(d.limit(0), p)[0].count() == 0 and mixture.feasibility(d, p.limit(0)).count() == 0
 
 

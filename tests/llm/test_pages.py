@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from loam.llm import boilerplate, markup, residue
@@ -92,9 +94,26 @@ def test_element_operator_on_odd_rows(spark):
 
 
 def test_content_region():
-    word, tag = markup.fit_weights([([True, False, False, True], [False, True, True, False])])
+    word, tag = markup.fit_weights([([True, False, False, True, False], [False, True, True, False, True])])
     assert word > 0 > tag
     assert markup.content_region([-1, 2, -1, 3, -5, 3]) == (1, 4) and markup.content_region([-1.0]) == (0, 0) and markup.content_region([]) == (0, 0)
+    rng = random.Random(3)
+    for _ in range(300):
+        x = [rng.choice([-2, -1, 1, 2]) for _ in range(rng.randrange(1, 12))]
+        a, b = markup.content_region(x)
+        assert sum(x[a:b]) == max([0, *(sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1))])
+
+
+def test_region_leaves_out_head_and_keeps_every_element():
+    html = NOTATIONS["html"][0]
+    a, b = markup.content_bounds(html)
+    assert "script" not in html[a:b] and html[a:b].startswith("<H1")
+    latex = NOTATIONS["latex"][0]
+    a, b = markup.content_bounds(latex)
+    assert "documentclass" not in latex[a:b] and "end{document}" not in latex[a:b]
+    for text, want in NOTATIONS.values():
+        assert {x for x in markup.region_blocks(text) if x[0] != "paragraph"} == want
+    assert markup.label("# no body") is None and markup.content_bounds("") == (0, 0)
 
 
 RESIDUE = [

@@ -1,7 +1,9 @@
 """The portable filter language, compiled to Catalyst expressions.
 
-A filter is a dictionary: ``{field: {op: value}}``, ``{field: value}``, ``{"and": [...]}``,
-``{"or": [...]}``, ``{"not": ...}``, ``{"exists": field}``; several entries mean all of them.
+A filter is a dictionary with operators first: ``{"eq": {field: value}}``, likewise ``ne``, ``in``, ``nin``,
+``gt``, ``gte``, ``lt`` and ``lte``; ``{"exists": field}``, ``{"and": [...]}``, ``{"or": [...]}``, ``{"not": ...}``.
+Several operators, or several fields below one, mean all of them. As a short form a key that is no
+operator is a field: ``{field: value}`` and ``{field: {op: value}}``.
 Logic is two-valued: a comparison with a missing field is false, also ``ne`` and ``nin``, and
 ``not`` turns that false into true. Types do not mix: true never equals 1.
 """
@@ -30,46 +32,70 @@ def _scalar(value: Any) -> Any:
     raise FilterError(f"not a text, number or truth value: {value!r}")
 
 
+def _operand(op: str, field: str, value: Any) -> tuple:
+    """The node of one comparison, its operand checked."""
+    if op not in COMPARISONS:
+        raise FilterError(f"unknown comparison {op}")
+    if op not in ("in", "nin"):
+        return (op, field, _scalar(value))
+    if not isinstance(value, list | tuple) or not value:
+        raise FilterError(f"{op} takes a list that is not empty")
+    return (op, field, [_scalar(v) for v in value])
+
+
+def _short_form(field: str, value: Any) -> list[tuple]:
+    """``{field: value}`` and ``{field: {op: value, ...}}``."""
+    if not isinstance(value, dict):
+        return [_operand("eq", field, value)]
+    if not value:
+        raise FilterError(f"no comparison for {field}")
+    present = [("exists", field) if wanted else ("not", ("exists", field)) for op, wanted in value.items() if op == "exists"]
+    return present + [_operand(op, field, v) for op, v in value.items() if op != "exists"]
+
+
+def _clause(key: str, body: Any) -> list[tuple]:
+    """Nodes of one entry of a filter; all of them must hold."""
+    if key in ("and", "or"):
+        if not isinstance(body, list) or not body:
+            raise FilterError(f"{key} takes a list that is not empty")
+        parts = [parse(part) for part in body if part]
+        return [] if not parts else parts if len(parts) == 1 else [(key, parts)]
+    if key == "not":
+        if not body:
+            raise FilterError("not takes a filter")
+        return [("not", parse(body))]
+    if key == "exists":
+        fields = [body] if isinstance(body, str) else body
+        if not isinstance(fields, list | tuple) or not fields or not all(isinstance(f, str) for f in fields):
+            raise FilterError("exists takes a field or a list of fields")
+        return [("exists", f) for f in fields]
+    if key in COMPARISONS:
+        if not isinstance(body, dict) or not body:
+            raise FilterError(f"{key} takes a dictionary of fields and values")
+        return [_operand(key, field, value) for field, value in body.items()]
+    return _short_form(key, body)
+
+
 def parse(filter_: Filter | None) -> tuple:
     """A tree of ('and'|'or', children), ('not', child), ('exists', field) and (op, field, value)."""
     if not filter_:
         return ("and", [])
     if not isinstance(filter_, dict):
         raise FilterError(f"a filter is a dictionary, not {type(filter_).__name__}")
-    nodes = []
-    for key, value in filter_.items():
-        if key in ("and", "or"):
-            if not isinstance(value, list) or not value:
-                raise FilterError(f"{key} takes a list that is not empty")
-            nodes.append((key, [parse(v) for v in value]))
-        elif key == "not":
-            nodes.append(("not", parse(value)))
-        elif key == "exists":
-            fields = [value] if isinstance(value, str) else value
-            if not isinstance(fields, list) or not fields or not all(isinstance(f, str) for f in fields):
-                raise FilterError("exists takes a field or a list of fields")
-            nodes.extend(("exists", f) for f in fields)
-        elif isinstance(value, dict):
-            if not value:
-                raise FilterError(f"no comparison for {key}")
-            for op, operand in value.items():
-                if op == "exists":
-                    nodes.append(("exists", key) if operand else ("not", ("exists", key)))
-                    continue
-                if op not in COMPARISONS:
-                    raise FilterError(f"unknown comparison {op}")
-                if op in ("in", "nin"):
-                    if not isinstance(operand, list) or not operand:
-                        raise FilterError(f"{op} takes a list that is not empty")
-                    operand = [_scalar(v) for v in operand]
-                else:
-                    operand = _scalar(operand)
-                nodes.append((op, key, operand))
-        else:
-            nodes.append(("eq", key, _scalar(value)))
+    nodes = [node for key, body in filter_.items() for node in _clause(key, body)]
     return nodes[0] if len(nodes) == 1 else ("and", nodes)
 
 
+def to_dict(node: tuple) -> Filter:
+    """A tree as a filter again, operators first; the empty filter for the empty tree."""
+    kind = node[0]
+    if kind in ("and", "or"):
+        return {kind: [to_dict(n) for n in node[1]]} if node[1] else {}
+    if kind == "not":
+        return {"not": to_dict(node[1])}
+    return {"exists": node[1]} if kind == "exists" else {kind: {node[1]: node[2]}}
+
+
 def conjunction(*filters: Filter | None) -> Filter | None:
     """All of several filters; missing ones are left out."""
     given = [f for f in filters if f]
@@ -85,16 +111,21 @@ def fields_of(filter_: Filter | None) -> set[str]:
     return walk(parse(filter_))
 
 
-def without_not(node: tuple, negate: bool = False) -> tuple:
-    """Push negations down to the comparisons, for stores that have none; missing fields then differ."""
+def without_not(node: tuple, negate: bool = False, not_exists: bool = True) -> tuple:
+    """Push negations down to the comparisons, for stores that have none; missing fields then differ.
+
+    A store without ``not_exists`` cannot tell missing fields at all, which is an error.
+    """
     kind = node[0]
     if kind == "not":
-        return without_not(node[1], not negate)
+        return without_not(node[1], not negate, not_exists)
     if kind in ("and", "or"):
         flipped = {"and": "or", "or": "and"}[kind] if negate else kind
-        return (flipped, [without_not(n, negate) for n in node[1]])
+        return (flipped, [without_not(n, negate, not_exists) for n in node[1]])
     if not negate:
         return node
+    if kind == "exists" and not not_exists:
+        raise FilterError("this store cannot ask for a missing field")
     return ("not", node) if kind == "exists" else (NEGATED[kind], *node[1:])
 
 
@@ -126,6 +157,8 @@ def _compare(column: Column, data_type: T.DataType, op: str, value: Any) -> Colu
 def condition(filter_: Filter | None, schema: T.StructType, exact: bool = True) -> Column:
     """The filter as a condition that is never null; a field the schema lacks is missing in every row.
 
+    ``m_<key>`` is the entry ``key`` of a column ``metadata``, a user's own fields.
+
     With ``exact`` off, comparisons outside of ``not`` may be null instead of false. That keeps the same
     rows in a filter, and leaves them in the form the Parquet reader understands.
     """
@@ -139,12 +172,15 @@ def condition(filter_: Filter | None, schema: T.StructType, exact: bool = True)
             parts = [build(n, exact) for n in node[1]]
             return reduce(lambda a, b: a & b if kind == "and" else a | b, parts) if parts else F.lit(True)
         field = node[1]
-        if field not in types:
+        if field in types:
+            column, data_type = F.col(f"`{field}`"), types[field]
+        elif field.startswith("m_") and isinstance(types.get("metadata"), T.MapType):
+            column, data_type = F.col("metadata")[field[2:]], types["metadata"].valueType
+        else:
             return F.lit(False)
-        column = F.col(f"`{field}`")
         if kind == "exists":
             return column.isNotNull()
-        compared = _compare(column, types[field], kind, node[2])
+        compared = _compare(column, data_type, kind, node[2])
         return F.coalesce(compared, F.lit(False)) if exact else compared
 
     return build(parse(filter_), exact)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +56,10 @@ def search(collection: DataFrame, vector: list[float], k: int, metric: str = "co
 def search_many(collection: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_: str = "id", vec: str = "vector", query_id: str = "query_id", query_vec: str = "query_vector") -> DataFrame:
     """(query_id, id, score, rank) for a stated set of queries against the whole collection, in blocks.
 
-    Each block of queries travels with the tasks as a matrix; a task scores its batch of the
-    collection at once and keeps the ``k`` best of every query, so that no more than
-    ``k`` rows per query and task are shuffled. Rows with a missing or other-sized vector are skipped.
+    Each block of queries travels with the tasks as a matrix; a task scores batch after batch of the
+    collection and keeps a running list of the ``k`` best of every query, so that no more than ``k`` rows per
+    query and task are shuffled. Equal scores, to nine decimals, go to the smaller id. Rows with a missing or
+    other-sized vector are skipped.
     """
     spark = collection.sparkSession
     asked = [(r[0], r[1]) for r in queries.filter(F.col(query_vec).isNotNull()).select(query_id, query_vec).collect()]
@@ -65,34 +70,51 @@ def search_many(collection: DataFrame, queries: DataFrame, k: int, metric: str =
     out = spark.createDataFrame([], shape)
     for start in range(0, len(asked), QUERY_BLOCK):
         block = asked[start : start + QUERY_BLOCK]
-        out = out.unionByName(rows.mapInPandas(_score_block([q for q, _ in block], np.array([v for _, v in block], np.float64), k, metric), shape))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        sized: dict[int, list[int]] = {}
+        for i, (_, v) in enumerate(block):
+            sized.setdefault(len(v), []).append(i)
+        for members in sized.values():
+            matrix = np.nan_to_num(np.array([block[i][1] for i in members], np.float64))
+            out = out.unionByName(rows.filter(F.size("vec") == matrix.shape[1]).mapInArrow(_score_block([block[i][0] for i in members], matrix, k, metric), shape))
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _score_block(ids: list, matrix: np.ndarray, k: int, metric: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    length = np.linalg.norm(matrix, axis=1)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame[[len(v) == matrix.shape[1] for v in frame["vec"]]]
-            if not len(frame):
+def _scores(matrix: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        squares = (x**2).sum(1)[None, :] + (matrix**2).sum(1)[:, None] - 2 * matrix @ x.T
+        return 1 / (1 + np.sqrt(np.maximum(squares, 0)))
+    score = matrix @ x.T
+    if metric == "cosine":
+        scale = np.linalg.norm(matrix, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        score = np.divide(score, scale, out=np.zeros_like(score), where=scale > 0)
+    return np.clip(score, 0, 1)
+
+
+def _score_block(ids: list, matrix: np.ndarray, k: int, metric: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[tuple[float, object]]] = [[] for _ in ids]
+        bar = np.full(len(ids), -np.inf)
+        kinds = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.stack(frame["vec"].to_numpy())
-            x = np.nan_to_num(x)
-            if metric == "l2":
-                raw = np.sqrt(np.maximum((x**2).sum(1)[None, :] + (matrix**2).sum(1)[:, None] - 2 * matrix @ x.T, 0))
-                score = 1 / (1 + raw)
-            else:
-                score = matrix @ x.T
-                if metric == "cosine":
-                    scale = length[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    score = np.divide(score, scale, out=np.zeros_like(score), where=scale > 0)
-                score = np.clip(score, 0, 1)
-            m = min(k, score.shape[1])
-            bar = np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m]
-            q, c = np.nonzero(score >= bar[:, None])
-            yield pd.DataFrame({"query_id": [ids[i] for i in q], "id": frame["id"].to_numpy()[c], "score": score[q, c]})
+            kinds = batch.schema.field("id").type
+            x = np.nan_to_num(batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            names = batch.column("id").to_pylist()
+            score = _scores(matrix, x, metric)
+            shown = np.round(score, 9)
+            for q in np.flatnonzero((shown >= bar[:, None]).any(axis=1)):
+                cut = max(bar[q], np.partition(shown[q], len(names) - k)[len(names) - k]) if len(names) > k else bar[q]
+                own = kept[q] + [(-shown[q, c], names[c], score[q, c]) for c in np.flatnonzero(shown[q] >= cut)]
+                own.sort(key=lambda t: t[:2])
+                kept[q] = own[:k]
+                if len(kept[q]) == k:
+                    bar[q] = -kept[q][-1][0]
+        if kinds is not None:
+            flat = [(ids[q], name, value) for q, own in enumerate(kept) for _, name, value in own]
+            columns = zip(*flat, strict=True) if flat else [[], [], []]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (None if flat else pa.null(), kinds, pa.float64()), strict=True)], names=["query_id", "id", "score"])
 
     return run
 
@@ -138,9 +160,43 @@ def user_embedder(fn: Callable[[list[str]], list[list[float]]], dim: int, batch_
     return embed
 
 
+def http_embedder(url: str, model: str, dim: int, key_env: str = "EMBEDDINGS_API_KEY", batch_size: int = 128, post: Callable[[str, dict, dict], dict] | None = None) -> Callable[[Column], Column]:
+    """A server that answers ``{"data": [{"index": i, "embedding": [...]}]}`` to ``{"model", "input"}``, asked in batches from the tasks."""
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[key_env]}"} if os.environ.get(key_env) else {})
+        answer = (post or post_json)(f"{url.rstrip('/')}/embeddings", {"model": model, "input": texts}, headers)
+        return [d["embedding"] for d in sorted(answer["data"], key=lambda d: d["index"])]
+
+    return user_embedder(ask, dim, batch_size)
+
+
+def post_json(url: str, body: dict, headers: dict) -> dict:
+    """One JSON request with the standard library."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), headers)
+    with urllib.request.urlopen(request, timeout=60) as reply:
+        return json.loads(reply.read())
+
+
+def local_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]], dim: int, batch_size: int = 128) -> Callable[[Column], Column]:
+    """A model that every Python worker loads once, on its first batch, with ``load``."""
+    model: list = []
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        if not model:
+            model.append(load())
+        return model[0](texts)
+
+    return user_embedder(ask, dim, batch_size)
+
+
 def embedder(spec: str) -> Callable[[Column], Column]:
-    """``hash:<dim>`` gives the offline embedder; other providers are functions passed to ``user_embedder``."""
-    provider, _, model = spec.partition(":")
-    if provider != "hash":
-        raise ValueError(f"unknown embedder {spec!r}")
-    return hash_embedder(int(model or 256))
+    """``hash:<dim>`` gives the offline embedder, ``http:<dim>:<model>@<url>`` a server; others are functions passed to ``user_embedder`` or ``local_embedder``."""
+    provider, _, rest = spec.partition(":")
+    if provider == "hash":
+        return hash_embedder(int(rest or 256))
+    if provider == "http":
+        dim, _, where = rest.partition(":")
+        model, _, url = where.partition("@")
+        return http_embedder(url, model, int(dim))
+    raise ValueError(f"unknown embedder {spec!r}")

@@ -62,7 +62,7 @@ def enrich_action(instructs: Column, boilerplate: Column, low_information: Colum
         .when(r(low_information) >= t.drop_low_information, "drop_low_information")
         .otherwise("keep")
     )
-    return action if t.mode == "on" else F.lit("keep")
+    return action if t.mode in ("on", "shadow") else F.lit("keep")
 
 
 def tag_value(choice: Column, confidence: Column, t: Thresholds = Thresholds()) -> Column:
@@ -71,17 +71,24 @@ def tag_value(choice: Column, confidence: Column, t: Thresholds = Thresholds())
 
 
 def enrich(chunks: DataFrame, t: Thresholds = Thresholds(), failed: str | None = None, taxonomy: Taxonomy = Taxonomy()) -> DataFrame:
-    """Add action, quarantined, dropped_reason, needs_reenrich and the tags.
+    """Add action, quarantined, dropped_reason, shadow_action, needs_reenrich and the tags.
 
     Expects ``instructs_ai``, ``boilerplate`` and ``low_information``, and per tag ``<name>_choice`` and
-    ``<name>_confidence``. Rows whose ``failed`` column is true are kept and marked for another run.
+    ``<name>_confidence``; a tag without them is ``unknown``. Rows whose ``failed`` column is true are kept and
+    marked for another run. In shadow mode every chunk is kept and ``shadow_action`` tells what would have been done.
     """
     broken = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
-    decided = enrich_action(F.col("instructs_ai"), F.col("boilerplate"), F.col("low_information"), t)
-    out = chunks.withColumn("action", F.when(broken, "keep").otherwise(decided))
+    decided = F.when(broken, "keep").otherwise(enrich_action(F.col("instructs_ai"), F.col("boilerplate"), F.col("low_information"), t))
+    shadow = t.mode == "shadow"
+    out = chunks.withColumns({
+        "action": F.lit("keep") if shadow else decided,
+        "shadow_action": F.when(decided != "keep", decided) if shadow else F.lit(None).cast("string"),
+    })
     for tag in taxonomy.fields:
-        value = tag_value(F.col(f"{tag.name}_choice"), F.col(f"{tag.name}_confidence"), t)
-        out = out.withColumn(f"tag_{tag.name}", F.when(broken, "unknown").otherwise(value)).withColumn(f"tag_{tag.name}_p", F.round(f"{tag.name}_confidence", 4))
+        choice, sure = f"{tag.name}_choice", f"{tag.name}_confidence"
+        known = choice in chunks.columns and sure in chunks.columns and t.mode != "off"
+        value = F.when(broken, "unknown").otherwise(tag_value(F.col(choice), F.col(sure), t)) if known else F.lit("unknown")
+        out = out.withColumns({f"tag_{tag.name}": value, f"tag_{tag.name}_p": F.round(sure, 4) if known else F.lit(None).cast("double")})
     return out.withColumns(
         {
             "quarantined": F.col("action") == "quarantine",

@@ -83,12 +83,6 @@ def passage_route(instructs: Column, relevant: Column, contradicts: Column, evid
     return out.otherwise("include")
 
 
-def evidence_rank(query_id: str = "query_id", evidence: str = "contains_answer_evidence", score: str = "vector_score", rank: str = "rank") -> Column:
-    """Place by evidence (missing last), then vector score, then recall rank."""
-    order = Window.partitionBy(query_id).orderBy(F.coalesce(F.round(evidence, 4), F.lit(-1.0)).desc(), F.col(score).desc(), F.col(rank))
-    return F.row_number().over(order)
-
-
 def classify(candidates: DataFrame, cfg: Classify = Classify(), query_id: str = "query_id") -> DataFrame:
     """Add ``decision`` and ``place``: included passages within the cap are numbered, the rest named by reason."""
     if cfg.mode != "on":
@@ -129,9 +123,15 @@ def within_budget(found: DataFrame, budget: int = 1200, query_id: str = "query_i
     return found.join(kept, [query_id, "id"], "left_semi")
 
 
-def gate(passages: DataFrame, queries: DataFrame, cfg: Gate = Gate(), query_id: str = "query_id") -> DataFrame:
-    """(query_id, passages, gate_p, abstain): the best evidence kept; no passages count 0, an unknown value never abstains."""
+def gate(passages: DataFrame, queries: DataFrame, cfg: Gate = Gate(), query_id: str = "query_id", answers: DataFrame | None = None) -> DataFrame:
+    """(query_id, passages, gate_p, abstain): no passages count 0, an unknown value never abstains.
+
+    ``answers`` (query_id, gate_p) is what a model says about the passages as a whole; without it the best evidence
+    among them stands in.
+    """
     best = passages.groupBy(query_id).agg(F.count(F.lit(1)).alias("passages"), F.max("contains_answer_evidence").alias("gate_p"))
+    if answers is not None:
+        best = best.drop("gate_p").join(answers.select(query_id, "gate_p"), query_id, "left")
     joined = queries.select(query_id).distinct().join(best, query_id, "left").withColumn("passages", F.coalesce("passages", F.lit(0)))
     p = F.when(F.col("passages") == 0, F.lit(0.0)).otherwise(F.col("gate_p"))
     low = F.coalesce(p < cfg.answer_min, F.lit(False))

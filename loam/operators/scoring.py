@@ -10,8 +10,12 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 from typing import Any
 
 import pyarrow as pa
@@ -43,17 +47,18 @@ class Bucket:
     clock: Callable[[], float] = time.monotonic
     level: float = field(init=False)
     at: float = field(init=False)
+    lock: Any = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
-        self.level, self.at = self.rate, self.clock()
+        self.level, self.at, self.lock = self.rate, self.clock(), Lock()
 
     def wait_for(self, amount: float) -> float:
         """Take ``amount`` and tell how long to wait before using it."""
-        now = self.clock()
-        self.level = min(self.rate, self.level + (now - self.at) * self.rate)
-        self.at = now
-        self.level -= amount
-        return max(0.0, -self.level / self.rate)
+        with self.lock:
+            now = self.clock()
+            self.level = min(self.rate, self.level + (now - self.at) * self.rate) - amount
+            self.at = now
+            return max(0.0, -self.level / self.rate)
 
     def drain(self) -> None:
         self.level = min(self.level, 0.0)
@@ -76,13 +81,18 @@ class Client:
             raise RequestTooLarge(f"{size} tokens in one request")
         for attempt in range(self.retries + 1):
             sleep(max(requests.wait_for(1), tokens.wait_for(size)))
-            status, headers, answer = self.transport(body)
+            try:
+                status, headers, answer = self.transport(body)
+            except (OSError, TimeoutError) as error:  # a broken connection or a time-out is worth another try
+                if attempt == self.retries:
+                    raise ConnectionError(str(error)) from error
+                status, headers, answer = None, {}, {}
             if status == 200:
                 missing = set(questions) - set(answer.get("answers", {}))
                 if missing:
                     raise ValueError(f"no answer to {sorted(missing)}")
                 return answer["answers"]
-            if status not in RETRIED or attempt == self.retries:
+            if status is not None and (status not in RETRIED or attempt == self.retries):
                 raise ConnectionError(f"status {status}")
             if status == 429:
                 requests.drain()
@@ -90,24 +100,43 @@ class Client:
         raise ConnectionError("no answer")
 
 
-def score_rows(rows: DataFrame, client: Client, questions: dict[str, Any], state: str = "state", tasks: int = 8) -> DataFrame:
-    """Add ``answers`` (JSON) and ``error`` to distinct states; errors stay in their row."""
+def http_transport(url: str, key: str = "", timeout: float = 60.0) -> Transport:
+    """Requests over HTTP with the standard library; every answer of the server is a status, only broken connections are raised."""
+
+    def send(body: dict[str, Any]) -> tuple[int, dict[str, str], dict[str, Any]]:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(url, json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                return reply.status, {k.lower(): v for k, v in reply.headers.items()}, json.loads(reply.read())
+        except urllib.error.HTTPError as error:
+            return error.code, {k.lower(): v for k, v in error.headers.items()}, {}
+
+    return send
+
+
+def score_rows(rows: DataFrame, client: Client, questions: dict[str, Any], state: str = "state", tasks: int = 8, at_once: int = 8) -> DataFrame:
+    """Add ``answers`` (JSON) and ``error`` to distinct states; errors stay in their row.
+
+    ``tasks`` partitions ask, each ``at_once`` requests at a time under its share of the rates; what comes before keeps its own parallelism.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         requests, tokens = Bucket(client.requests_per_second / tasks), Bucket(client.tokens_per_second / tasks)
-        for batch in batches:
-            answers, errors = [], []
-            for text in batch.column(state).to_pylist():
-                try:
-                    answers.append(json.dumps(client.ask(text, questions, requests, tokens)))
-                    errors.append(None)
-                except Exception as e:
-                    answers.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "answers", "error"])
+
+        def one(text: str) -> tuple[str | None, str | None]:
+            try:
+                return json.dumps(client.ask(text, questions, requests, tokens)), None
+            except Exception as error:
+                return None, str(error)
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                done = list(pool.map(one, batch.column(state).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.string())], names=[*batch.schema.names, "answers", "error"])
 
     shape = rows.schema.add("answers", "string").add("error", "string")
-    return rows.coalesce(tasks).mapInArrow(run, shape)
+    return rows.repartition(tasks).mapInArrow(run, shape)
 
 
 def with_cache(rows: DataFrame, cache: DataFrame, key: str, ask: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -25,10 +25,14 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("collection")
     ingest.add_argument("paths", nargs="+")
     ingest.add_argument("--dry-run", action="store_true")
+    ingest.add_argument("--limit", type=int)
+    ingest.add_argument("--force", action="store_true")
     query = sub.add_parser("query")
     query.add_argument("collection")
     query.add_argument("text")
     query.add_argument("--where")
+    query.add_argument("--no-route", action="store_true")
+    query.add_argument("--prompt", action="store_true", help="print the passages as a model is shown them")
     inspect = sub.add_parser("inspect")
     inspect.add_argument("collection")
     inspect.add_argument("--quarantined", action="store_true")
@@ -52,10 +56,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "check":
         print(json.dumps({"spark": spark.version, "embedder": pipeline.config.embedder, "dim": pipeline.dim}))
     elif args.command == "ingest":
-        pipeline.ingest(args.paths, args.collection, args.dry_run).orderBy("doc_id").show(50, truncate=60)
+        pipeline.ingest(args.paths, args.collection, args.dry_run, args.limit, args.force).orderBy("doc_id").show(50, truncate=60)
     elif args.command == "query":
         asked = spark.createDataFrame([("q", args.text)], "query_id string, text string")
-        results = pipeline.retrieve(asked, args.collection, json.loads(args.where) if args.where else None)
+        results = pipeline.retrieve(asked, args.collection, json.loads(args.where) if args.where else None, route=not args.no_route)
+        if args.prompt:
+            print(pipeline.prompts(results, args.collection).first()["prompt"])
+            return 0
         print(results.toJSON().first())
     elif args.command == "inspect":
         rows = pipeline.collection(args.collection).read()

@@ -74,28 +74,36 @@ def load(path: str | None) -> Config:
     return build(Config, yaml.safe_load(text))
 
 
-_ASSIGNMENT = re.compile(r"^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$")
+_ASSIGNMENT = re.compile(r"^\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*$", re.A)
+_QUOTED_VALUE = re.compile(r"'([^']*)'|\"((?:[^\"\\]|\\.)*)\"")
+# What a backslash and a letter mean inside double quotes.
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "\\": "\\"}
 
 
 def parse_env(text: str) -> dict[str, str]:
-    """``NAME=value`` lines; quotes are taken off, comments behind unquoted values too."""
+    """``NAME=value`` lines; quotes are taken off, escapes read inside double ones, comments behind values dropped. A bad line is an error."""
     out = {}
-    for line in text.splitlines():
-        found = None if line.lstrip().startswith("#") else _ASSIGNMENT.match(line)
-        if not found:
+    for number, line in enumerate(text.removeprefix("\ufeff").splitlines(), 1):
+        if not line.strip() or line.lstrip().startswith("#"):
             continue
+        found = _ASSIGNMENT.match(line)
+        if not found:
+            raise ValueError(f"line {number} is no NAME=value")
         name, value = found.groups()
-        if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
-            value = value[1:-1]
+        if quoted := _QUOTED_VALUE.match(value):
+            single, double = quoted.groups()
+            value = single if double is None else re.sub(r"\\(.)", lambda m: _ESCAPED.get(m[1], m[0]), double)
         else:
-            value = re.sub(r"\s+#.*$", "", value)
+            value = re.sub(r"(?:^|\s+)#.*$", "", value).strip()
         out[name] = value
     return out
 
 
-def load_env(path: str = ".env") -> None:
-    """Set variables of a file that are not set yet."""
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            for name, value in parse_env(f.read()).items():
-                os.environ.setdefault(name, value)
+def load_env(path: str = ".env", override: bool = False) -> list[str]:
+    """Set variables of a file that are not set yet, or all of them; empty values are left out. The names that were set."""
+    if not os.path.isfile(path):
+        return []
+    with open(path, encoding="utf-8") as f:
+        found = {n: v for n, v in parse_env(f.read()).items() if v and (override or not os.environ.get(n))}
+    os.environ.update(found)
+    return list(found)

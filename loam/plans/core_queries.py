@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,20 +205,24 @@ def metadata_prefixed(spark: Spark, d: str) -> DataFrame:
 # ---------------------------------------------------------------- filters
 
 _FILTERS: dict[str, tuple[dict, str]] = {
-    "filter_eq": ({"tag": {"eq": "billing"}}, "tag = 'billing'"),
-    "filter_ne": ({"tag": {"ne": "billing"}}, "coalesce(tag <> 'billing', false)"),
-    "filter_in": ({"tag": {"in": ["auth", "api"]}}, "tag IN ('auth', 'api')"),
-    "filter_nin": ({"tag": {"nin": ["auth", "api"]}}, "coalesce(tag NOT IN ('auth', 'api'), false)"),
-    "filter_range": ({"score": {"gte": 0.25, "lt": 0.75}}, "score >= 0.25 AND score < 0.75"),
-    "filter_gt": ({"score": {"gt": 0.5}}, "score > 0.5"),
-    "filter_lte": ({"chunk_index": {"lte": 1}}, "chunk_index <= 1"),
+    "filter_eq": ({"eq": {"tag": "billing"}}, "tag = 'billing'"),
+    "filter_ne": ({"ne": {"tag": "billing"}}, "coalesce(tag <> 'billing', false)"),
+    "filter_in": ({"in": {"tag": ["auth", "api"]}}, "tag IN ('auth', 'api')"),
+    "filter_nin": ({"nin": {"tag": ["auth", "api"]}}, "coalesce(tag NOT IN ('auth', 'api'), false)"),
+    "filter_range": ({"gte": {"score": 0.25}, "lt": {"score": 0.75}}, "score >= 0.25 AND score < 0.75"),
+    "filter_gt": ({"gt": {"score": 0.5}}, "score > 0.5"),
+    "filter_lte": ({"lte": {"chunk_index": 1}}, "chunk_index <= 1"),
     "filter_exists": ({"exists": "flag"}, "flag IS NOT NULL"),
-    "filter_not": ({"not": {"flag": True}}, "NOT coalesce(flag, false)"),
+    "filter_not": ({"not": {"eq": {"flag": True}}}, "NOT coalesce(flag, false)"),
     "filter_not_exists": ({"not": {"exists": "tag"}}, "tag IS NULL"),
-    "filter_or": ({"or": [{"tag": "api"}, {"flag": False}]}, "coalesce(tag = 'api', false) OR coalesce(NOT flag, false)"),
-    "filter_not_or": ({"not": {"or": [{"tag": "api"}, {"score": {"lt": 0.3}}]}}, "NOT (coalesce(tag = 'api', false) OR coalesce(score < 0.3, false))"),
-    "filter_implicit_and": ({"chunk_index": 0, "score": {"gte": 0.6}}, "chunk_index = 0 AND score >= 0.6"),
+    "filter_or": ({"or": [{"eq": {"tag": "api"}}, {"eq": {"flag": False}}]}, "coalesce(tag = 'api', false) OR coalesce(NOT flag, false)"),
+    "filter_not_or": ({"not": {"or": [{"eq": {"tag": "api"}}, {"lt": {"score": 0.3}}]}}, "NOT (coalesce(tag = 'api', false) OR coalesce(score < 0.3, false))"),
+    "filter_implicit_and": ({"eq": {"chunk_index": 0}, "gte": {"score": 0.6}}, "chunk_index = 0 AND score >= 0.6"),
     "filter_type_guard": ({"flag": {"eq": 1}}, "false"),
+    "filter_type_guard_ne": ({"ne": {"flag": 1}}, "flag IS NOT NULL"),
+    "filter_type_guard_nin": ({"nin": {"chunk_index": [True, 0]}}, "coalesce(chunk_index <> 0, false)"),
+    "filter_fields_below_one_operator": ({"eq": {"chunk_index": 0, "flag": True}}, "chunk_index = 0 AND flag"),
+    "filter_short_form": ({"tag": {"in": ["api"]}, "score": {"gte": 0.2}}, "tag = 'api' AND score >= 0.2"),
     "filter_missing_field": ({"not": {"no_such_field": "x"}}, "true"),
     "filter_quarantine_live": ({"not": {"flag": True}}, "NOT coalesce(flag, false)"),
 }
@@ -244,6 +250,19 @@ def filter_dynamic_metadata(spark: Spark, d: str) -> DataFrame:
     return filters.where(events, {"k": {"gte": 50}}).select("event_id", "user_id")
 
 
+@register("filter_own_metadata", "SELECT doc_id FROM documents WHERE metadata IS NOT NULL AND map_extract_value(metadata, (SELECT min(k) FROM (SELECT unnest(map_keys(metadata)) AS k FROM documents))) IS NOT NULL")
+def filter_own_metadata(spark: Spark, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    key = docs.select(F.explode(F.map_keys("metadata")).alias("k")).agg(F.min("k")).first()[0]
+    return filters.where(docs, {"exists": f"m_{key}"}).select("doc_id")
+
+
+@register("filter_quarantined_chunks", "SELECT chunk_id, ingested_at FROM chunks WHERE coalesce(quarantined = false, false) OR quarantined IS NULL", times=("ingested_at",))
+def filter_quarantined_chunks(spark: Spark, d: str) -> DataFrame:
+    live = {"or": [{"eq": {"quarantined": False}}, {"not": {"exists": "quarantined"}}]}
+    return filters.where(table(spark, d, "chunks"), live).select("chunk_id", "ingested_at")
+
+
 @register("filter_lineitem_scan", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.05 AND l_quantity < 10")
 def filter_lineitem_scan(spark: Spark, d: str) -> DataFrame:
     rule = {"l_returnflag": "R", "l_discount": {"gte": 0.05}, "l_quantity": {"lt": 10}}
@@ -366,6 +385,13 @@ def stale_delete(spark: Spark, d: str) -> DataFrame:
     return collection.stale(table(spark, d, "chunks"), fresh, "doc_id", "chunk_id").select("chunk_id").distinct()
 
 
+@register("stale_after_change", "SELECT DISTINCT r.chunk_id FROM chunks r WHERE r.doc_id IN (SELECT doc_id FROM documents WHERE kind = 'note') AND r.chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_index > 0 AND chunk_id IS NOT NULL)")
+def stale_after_change(spark: Spark, d: str) -> DataFrame:
+    """Notes come again without their first chunk; some then have none at all."""
+    chunks, notes = table(spark, d, "chunks"), table(spark, d, "documents").filter("kind = 'note'")
+    return collection.stale_of(chunks, notes, chunks.filter("chunk_index > 0"), "doc_id", "chunk_id").select("chunk_id").distinct()
+
+
 _DH = f"left(sha256({_NORM} || chr(31) || coalesce(title, '')), 32)"
 
 
@@ -438,6 +464,42 @@ def chunks_semantic(spark: Spark, d: str) -> DataFrame:
     return chunking.chunk(priced, chunking.Config(method="semantic-embedding"), "costs")
 
 
+def _invariants(cfg: chunking.Config) -> Callable[[Spark, str], DataFrame]:
+    def run(spark: Spark, d: str) -> DataFrame:
+        """Per document: chunks whose text, size or order is not what the document says, and chunks over the maximum that hold several units."""
+        from pyspark.sql import Window
+
+        docs = _documents(spark, d).filter(tx.has_prose(F.col("text"))).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("whole"))
+        order = Window.partitionBy("doc_id").orderBy("chunk_index")
+        made = chunking.chunk(_documents(spark, d), cfg).withColumns({"before": F.lag("char_start").over(order), "place": F.row_number().over(order) - 1})
+        one = F.regexp_count(F.trim("text"), F.lit(r"\S+\s+")) == 0
+        rows = docs.join(made, "doc_id", "left").groupBy("doc_id").agg(
+            F.count(F.when(F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text"), 1)).alias("wrong_text"),
+            F.count(F.when(tx.token_estimate(F.col("text")) != F.col("tokens"), 1)).alias("wrong_size"),
+            F.count(F.when((F.col("place") != F.col("chunk_index")) | (F.col("char_start") <= F.col("before")), 1)).alias("wrong_order"),
+            F.count(F.when((F.col("tokens") > cfg.max_tokens) & ~one, 1)).alias("too_large"),
+            F.count(F.when(~tx.has_prose(F.col("text")), 1)).alias("without_prose"),
+        )
+        return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "wrong_text", "wrong_size", "wrong_order", "too_large", "without_prose")
+
+    return run
+
+
+for _name, _cfg in {
+    "chunk_invariants_structural": chunking.Config(), "chunk_invariants_small": chunking.Config(min_tokens=24, target_tokens=90, max_tokens=160, overlap_tokens=0),
+    "chunk_invariants_fixed": chunking.Config(method="fixed", target_tokens=160, max_tokens=256, overlap_tokens=40),
+}.items():
+    register(_name, "SELECT doc_id, 0 AS wrong_text, 0 AS wrong_size, 0 AS wrong_order, 0 AS too_large, 0 AS without_prose FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[\\p{L}\\p{N}]')")(_invariants(_cfg))
+
+
+@register("heading_sections", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE kind = 'note' AND text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '~~~')) SELECT doc_id, count(*) AS headings FROM l WHERE regexp_full_match(line, '#{1,6}[ \\t]+.*') GROUP BY 1")
+def heading_sections(spark: Spark, d: str) -> DataFrame:
+    notes = table(spark, d, "documents").filter("kind = 'note' AND text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '~~~')").select("doc_id", "text", F.lit("markdown").alias("format"))
+    heads = chunking.blocks(notes).filter("kind = 'heading'").join(notes.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id")
+    marked = heads.filter(F.substring("text", F.col("char_start") + 1, F.lit(1)) == "#")
+    return marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("headings"))
+
+
 @register("chunk_records")
 def chunk_records(spark: Spark, d: str) -> DataFrame:
     docs = _documents(spark, d)
@@ -497,6 +559,11 @@ def enrich_actions(spark: Spark, d: str) -> DataFrame:
     return enrich.enrich(_scored_chunks(spark, d)).select("chunk_id", "ingested_at", "action", "quarantined", "dropped_reason")
 
 
+@register("enrich_shadow", f"WITH s AS (SELECT chunk_id, ingested_at, {_RULES} FROM chunks WHERE text IS NOT NULL) SELECT chunk_id, ingested_at, 'keep' AS action, CASE WHEN instructs_ai >= 0.7 THEN 'quarantine' WHEN boilerplate >= 0.85 THEN 'drop_boilerplate' WHEN low_information >= 0.85 THEN 'drop_low_information' END AS shadow_action, false AS quarantined FROM s", times=("ingested_at",))
+def enrich_shadow(spark: Spark, d: str) -> DataFrame:
+    return enrich.enrich(_scored_chunks(spark, d), enrich.Thresholds(mode="shadow")).select("chunk_id", "ingested_at", "action", "shadow_action", "quarantined")
+
+
 @register("tag_threshold", "SELECT id, ingested_at, CASE WHEN score >= 0.5 AND tag IS NOT NULL THEN tag ELSE 'unknown' END AS tag_product, round(score, 4) AS tag_product_p FROM records", times=("ingested_at",))
 def tag_threshold(spark: Spark, d: str) -> DataFrame:
     rows = table(spark, d, "records")
@@ -692,7 +759,7 @@ def usage_latency(spark: Spark, d: str) -> DataFrame:
 _QRELS = "qrels AS (SELECT query_id, id AS unit, CASE WHEN ev >= 0.8 THEN 2 ELSE 1 END AS gain FROM cand WHERE ev >= 0.6)"
 _SYSTEMS = """sys AS (
   SELECT 'vector@10' AS system, query_id, id, tokens, rank AS k FROM cand WHERE rank <= 10
-  UNION ALL SELECT 'jev-rerank@8', query_id, id, tokens, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(round(ev, 4), -1) DESC, vector_score DESC NULLS LAST, rank) AS k FROM cand QUALIFY k <= 8
+  UNION ALL SELECT 'model-rerank@8', query_id, id, tokens, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(round(ev, 4), -1) DESC, vector_score DESC NULLS LAST, rank) AS k FROM cand QUALIFY k <= 8
   UNION ALL SELECT 'llm-rerank@8', query_id, id, tokens, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(llm, -1) DESC, vector_score DESC NULLS LAST, rank) AS k FROM cand QUALIFY k <= 8)"""
 
 
@@ -707,7 +774,7 @@ def systems(cand: DataFrame) -> DataFrame:
     by = lambda first: F.row_number().over(Window.partitionBy("query_id").orderBy(first, F.col("vector_score").desc_nulls_last(), "rank"))
     cols = ["system", "query_id", "id", "tokens", "k"]
     vector = cand.filter("rank <= 10").withColumn("system", F.lit("vector@10")).withColumn("k", F.col("rank"))
-    model = cand.withColumn("k", by(F.coalesce(F.round("contains_answer_evidence", 4), F.lit(-1.0)).desc())).filter("k <= 8").withColumn("system", F.lit("jev-rerank@8"))
+    model = cand.withColumn("k", by(F.coalesce(F.round("contains_answer_evidence", 4), F.lit(-1.0)).desc())).filter("k <= 8").withColumn("system", F.lit("model-rerank@8"))
     llm = cand.withColumn("k", by(F.coalesce("llm", F.lit(-1.0)).desc())).filter("k <= 8").withColumn("system", F.lit("llm-rerank@8"))
     return vector.select(cols).unionByName(model.select(cols)).unionByName(llm.select(cols))
 
@@ -742,20 +809,20 @@ m AS (SELECT per.system, per.query_id, answerable, least(returned, 10) AS return
 
 
 def _per_system(spark: Spark, d: str) -> DataFrame:
+    """Metrics of all systems at once: a system's query is a query of its own, the labels are joined once."""
     from loam.plans.runtime import materialize
 
     cand = materialize(candidates(spark, d))
-    picked = systems(cand)
-    qrels = _qrels(cand)
-    out = None
-    for name in ("vector@10", "jev-rerank@8", "llm-rerank@8"):
-        own = picked.filter(F.col("system") == name)
-        scored = evaluate.query_metrics(own.select("query_id", F.col("k").alias("rank"), F.col("id").alias("unit")), qrels)
-        per = own.groupBy("query_id").agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("returned"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-        part = per.join(scored, "query_id", "left").fillna(0.0, ["recall", "any_hit", "hit_at_1", "mrr", "ndcg"]).withColumn("system", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    picked = materialize(systems(cand).withColumn("own", F.struct("system", "query_id")))
+    names = F.array(*[F.lit(n) for n in ("vector@10", "model-rerank@8", "llm-rerank@8")])
+    qrels = _qrels(cand).withColumn("system", F.explode(names)).select(F.struct("system", "query_id").alias("own"), "unit", "gain")
+    scored = evaluate.query_metrics(picked.select(F.col("own").alias("query_id"), F.col("k").alias("rank"), F.col("id").alias("unit")), qrels.withColumnRenamed("own", "query_id")).withColumnRenamed("query_id", "own")
+    per = picked.groupBy("own").agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("returned"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    out = per.join(scored, "own", "left").fillna(0.0, ["recall", "any_hit", "hit_at_1", "mrr", "ndcg"]).select("own.system", "own.query_id", "returned", "tokens", "recall", "any_hit", "hit_at_1", "mrr", "ndcg")
     known = table(spark, d, "evalqueries").filter("query_id IS NOT NULL").groupBy("query_id").agg(F.bool_and(F.coalesce("answerable", F.lit(True))).alias("answerable"))
-    return out.join(known, "query_id").withColumn("abstain", F.lit(None).cast("boolean"))
+    best = cand.groupBy("query_id").agg(F.coalesce(F.max("contains_answer_evidence") < 0.35, F.lit(False)).alias("low"))
+    joined = out.join(known, "query_id").join(best, "query_id", "left")
+    return joined.withColumn("abstain", F.when(F.col("system") == "model-rerank@8", F.col("low"))).drop("low")
 
 
 @register("summarise_systems", f"WITH {_SUMMARY} SELECT system, count(*) AS n, round(avg(recall) FILTER (answerable), 4) AS recall, round(avg(ndcg) FILTER (answerable), 4) AS ndcg, round(avg(returned), 4) AS returned, round(avg(tokens), 4) AS tokens FROM m GROUP BY 1")
@@ -763,6 +830,17 @@ def summarise_systems(spark: Spark, d: str) -> DataFrame:
     return evaluate.summarise(_per_system(spark, d), ["system"]).select("system", "n", "recall", "ndcg", "returned", "tokens")
 
 
+@register(
+    "summarise_outcomes",
+    f"""WITH {_SUMMARY}, low AS (SELECT query_id, coalesce(max(ev) < 0.35, false) AS low FROM cand GROUP BY 1),
+o AS (SELECT per.system, answerable, CASE WHEN seen > 0 THEN 1.0 ELSE 0.0 END AS any_hit, CASE WHEN first = 1 THEN 1.0 ELSE 0.0 END AS hit_at_1, coalesce(1.0 / first, 0) AS mrr, CASE WHEN per.system = 'model-rerank@8' THEN low::INT::DOUBLE END AS abstain
+  FROM per JOIN a USING (query_id) JOIN low USING (query_id) LEFT JOIN got ON got.system = per.system AND got.query_id = per.query_id)
+SELECT system, round(avg(mrr) FILTER (answerable), 4) AS mrr, round(avg(hit_at_1) FILTER (answerable), 4) AS hit_at_1, round(avg(any_hit) FILTER (answerable), 4) AS any_hit, round(avg(abstain) FILTER (answerable), 4) AS false_abstain, round(avg(abstain) FILTER (NOT answerable), 4) AS true_abstain FROM o GROUP BY 1""",
+)
+def summarise_outcomes(spark: Spark, d: str) -> DataFrame:
+    return evaluate.summarise(_per_system(spark, d), ["system"]).select("system", "mrr", "hit_at_1", "any_hit", "false_abstain", "true_abstain")
+
+
 @register("bars", f"WITH {_SUMMARY}, t AS (SELECT system, avg(recall) FILTER (answerable) AS r, avg(tokens) AS t FROM m GROUP BY 1), b AS (SELECT * FROM t WHERE system = 'vector@10') SELECT t.system, round(1 - t.t / b.t, 4) AS token_cut, round(b.r - t.r, 4) AS recall_drop, 1 - t.t / b.t >= 0.4 AND b.r - t.r <= 0.02 AS passed FROM t, b WHERE t.system <> 'vector@10'")
 def bars(spark: Spark, d: str) -> DataFrame:
     means = _per_system(spark, d).groupBy("system").agg(F.avg(F.when(F.col("answerable"), F.col("recall"))).alias("r"), F.avg("tokens").alias("t"))
@@ -774,15 +852,15 @@ def bars(spark: Spark, d: str) -> DataFrame:
 @register("bootstrap_delta")
 def bootstrap_delta(spark: Spark, d: str) -> DataFrame:
     per = _per_system(spark, d).filter("answerable").groupBy("query_id").agg(
-        (F.max(F.when(F.col("system") == "jev-rerank@8", F.col("recall"))) - F.max(F.when(F.col("system") == "vector@10", F.col("recall")))).alias("diff")
+        (F.max(F.when(F.col("system") == "model-rerank@8", F.col("recall"))) - F.max(F.when(F.col("system") == "vector@10", F.col("recall")))).alias("diff")
     )
     return evaluate.bootstrap_table(per)
 
 
-@register("point_delta", f"WITH {_SUMMARY}, p AS (SELECT query_id, max(recall) FILTER (system = 'jev-rerank@8') - max(recall) FILTER (system = 'vector@10') AS diff FROM m WHERE answerable GROUP BY 1) SELECT round(avg(diff), 4) AS delta, count(diff) AS n FROM p")
+@register("point_delta", f"WITH {_SUMMARY}, p AS (SELECT query_id, max(recall) FILTER (system = 'model-rerank@8') - max(recall) FILTER (system = 'vector@10') AS diff FROM m WHERE answerable GROUP BY 1) SELECT round(avg(diff), 4) AS delta, count(diff) AS n FROM p")
 def point_delta(spark: Spark, d: str) -> DataFrame:
     per = _per_system(spark, d).filter("answerable").groupBy("query_id").agg(
-        (F.max(F.when(F.col("system") == "jev-rerank@8", F.col("recall"))) - F.max(F.when(F.col("system") == "vector@10", F.col("recall")))).alias("diff")
+        (F.max(F.when(F.col("system") == "model-rerank@8", F.col("recall"))) - F.max(F.when(F.col("system") == "vector@10", F.col("recall")))).alias("diff")
     )
     return per.agg(F.round(F.avg("diff"), 4).alias("delta"), F.count("diff").alias("n"))
 
@@ -832,20 +910,68 @@ def tune_gate(spark: Spark, d: str) -> DataFrame:
     return means.select(F.inline(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"f{i}").alias("false_abstain"), F.col(f"t{i}").alias("true_abstain")) for i, t in enumerate(steps)])))
 
 
-_FORM = "trim(regexp_replace(lower({c}), '[^0-9a-z]+', ' ', 'g'))"
+_GRID = f"""{_CAND}, {_QRELS}, a AS (SELECT query_id, bool_and(coalesce(answerable, true)) AS answerable FROM evalqueries WHERE query_id IS NOT NULL GROUP BY 1),
+ideal AS (SELECT query_id, count(*) AS units, sum(CASE WHEN i <= 10 THEN gain / log2(i + 1) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, unit) AS i FROM qrels) GROUP BY 1),
+k AS (SELECT a.query_id, answerable, units, idcg FROM a LEFT JOIN ideal USING (query_id)),
+sc AS (SELECT c.*, gain, NOT (rel IS NULL AND ev IS NULL AND con IS NULL AND ins IS NULL) AS scored FROM cand c LEFT JOIN qrels q ON q.query_id = c.query_id AND q.unit = c.id),
+u AS (SELECT r.min_relevant, sc.*, row_number() OVER (PARTITION BY sc.query_id, r.min_relevant ORDER BY coalesce(round(ev, 4), -1) DESC, vector_score DESC NULLS LAST, rank) AS place
+  FROM sc, (VALUES (0.2), (0.35), (0.5), (0.65)) r(min_relevant) WHERE NOT scored OR (round(coalesce(ins, 0), 4) < 0.7 AND round(coalesce(con, 0), 4) < 0.6 AND round(coalesce(rel, 0), 4) >= r.min_relevant)),
+g AS (SELECT r.min_relevant, e / 10.0 AS min_evidence, n AS max_passages FROM (VALUES (0.2), (0.35), (0.5), (0.65)) r(min_relevant), range(1, 7) x(e), (VALUES (3), (5), (8), (10)) b(n)),
+t AS (SELECT g.min_relevant, g.min_evidence, g.max_passages, u.query_id, count(gain) FILTER (place <= 10) AS hits, sum(tokens) AS tokens, sum(gain / log2(place + 1)) FILTER (place <= 10) AS dcg
+  FROM g JOIN u ON u.min_relevant = g.min_relevant AND place <= g.max_passages AND (NOT scored OR round(coalesce(ev, 0), 4) >= g.min_evidence) GROUP BY ALL),
+m AS (SELECT g.min_relevant, g.min_evidence, g.max_passages, round(avg(coalesce(hits / units, 0)) FILTER (answerable), 4) AS recall, round(avg(coalesce(tokens, 0)), 4) AS tokens,
+  round(avg(CASE WHEN idcg > 0 THEN least(coalesce(dcg / idcg, 0), 1) ELSE 0 END) FILTER (answerable), 4) AS ndcg
+  FROM g CROSS JOIN k LEFT JOIN t ON t.query_id = k.query_id AND t.min_relevant = g.min_relevant AND t.min_evidence = g.min_evidence AND t.max_passages = g.max_passages GROUP BY ALL),
+fl AS (SELECT round(coalesce(avg(coalesce(h / units, 0)) FILTER (answerable), 0), 4) - 0.02 AS floor FROM k LEFT JOIN (SELECT query_id, count(gain) AS h FROM sc WHERE rank <= 8 GROUP BY 1) USING (query_id)),
+grid AS (SELECT min_relevant::DOUBLE AS min_relevant, min_evidence::DOUBLE AS min_evidence, max_passages, recall, tokens, ndcg, coalesce(recall, 0) >= floor AS ok FROM m, fl)"""
+
+
+def _threshold_grid(spark: Spark, d: str) -> DataFrame:
+    from loam.plans.runtime import materialize
+
+    cand = materialize(candidates(spark, d))
+    known = table(spark, d, "evalqueries").filter("query_id IS NOT NULL").groupBy("query_id").agg(F.bool_and(F.coalesce("answerable", F.lit(True))).alias("answerable"))
+    return evaluate.threshold_grid(cand, _qrels(cand), known)
+
+
+@register("tune_thresholds", f"WITH {_GRID} SELECT * FROM grid")
+def tune_thresholds(spark: Spark, d: str) -> DataFrame:
+    return _threshold_grid(spark, d).drop("floor")
+
+
+@register("tune_choice", f"WITH {_GRID} SELECT min_relevant, min_evidence, max_passages, recall, tokens, ndcg FROM grid WHERE ok ORDER BY tokens, ndcg DESC, min_relevant, min_evidence, max_passages LIMIT 1")
+def tune_choice(spark: Spark, d: str) -> DataFrame:
+    return evaluate.best_thresholds(_threshold_grid(spark, d)).select("min_relevant", "min_evidence", "max_passages", "recall", "tokens", "ndcg")
 
 
 @register(
-    "evidence_match",
-    f"""WITH e AS (SELECT DISTINCT query_id || '#' || ev AS eid, {_FORM.format(c='ev')} AS f FROM (SELECT query_id, unnest(evidence) AS ev FROM evalqueries WHERE query_id IS NOT NULL)),
+    "tune_gate_choice",
+    f"""WITH {_classified_sql(False)}, {_GATE}, a AS (SELECT query_id, bool_and(coalesce(answerable, true)) AS answerable FROM evalqueries WHERE query_id IS NOT NULL GROUP BY 1),
+t AS (SELECT i / 100.0 AS threshold, round(avg((gate_p < i / 100.0)::INT) FILTER (answerable), 4) AS false_abstain, round(avg((gate_p < i / 100.0)::INT) FILTER (NOT answerable), 4) AS true_abstain FROM gated JOIN a USING (query_id), range(5, 100, 5) r(i) GROUP BY 1)
+SELECT threshold::DOUBLE AS threshold, false_abstain, true_abstain FROM t WHERE false_abstain <= 0.5 ORDER BY true_abstain DESC, false_abstain, threshold LIMIT 1""",
+)
+def tune_gate_choice(spark: Spark, d: str) -> DataFrame:
+    return evaluate.best_gate(tune_gate(spark, d), 0.5)
+
+
+_FORM = "trim(regexp_replace(lower({c}), '[^0-9a-z]+', ' ', 'g'))"
+
+
+# A quotation counts where its form is a part of the passage's, or where 60 % of its five-word sequences are there.
+_EVIDENCE = f"""WITH e AS ({{evidence}}),
 c AS (SELECT chunk_id, {_FORM.format(c='text')} AS f FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) AS rn FROM chunks WHERE text IS NOT NULL) WHERE rn = 1),
 ew AS (SELECT eid, string_split(f, ' ') AS w FROM e WHERE f <> ''), cw AS (SELECT chunk_id, string_split(f, ' ') AS w FROM c),
-eg AS (SELECT DISTINCT eid, array_to_string(w[i:i+4], ' ') AS g FROM ew, range(1, 400) r(i) WHERE i + 4 <= len(w)),
+eg AS (SELECT DISTINCT eid, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT eid, w, unnest(range(1, len(w) - 3)) AS i FROM ew WHERE len(w) >= 5)),
 cg AS (SELECT DISTINCT chunk_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT chunk_id, w, unnest(range(1, len(w) - 3)) AS i FROM cw WHERE len(w) >= 5)),
 n AS (SELECT eid, count(*) AS n FROM eg GROUP BY 1),
 h AS (SELECT eid, chunk_id, count(*) AS hits FROM eg JOIN cg USING (g) GROUP BY 1, 2)
 SELECT eid, chunk_id FROM h JOIN n USING (eid) WHERE hits / n >= 0.6
-UNION SELECT e.eid, c.chunk_id FROM (SELECT e.* FROM e JOIN ew USING (eid) WHERE len(w) < 5) e JOIN c ON contains(' ' || c.f || ' ', ' ' || e.f || ' ')""",
+UNION SELECT e.eid, c.chunk_id FROM (SELECT e.* FROM e WHERE f <> '') e JOIN c ON contains(c.f, e.f)"""
+
+
+@register(
+    "evidence_match",
+    _EVIDENCE.format(evidence="SELECT DISTINCT query_id || '#' || ev AS eid, " + _FORM.format(c="ev") + " AS f FROM (SELECT query_id, unnest(evidence) AS ev FROM evalqueries WHERE query_id IS NOT NULL)"),
 )
 def evidence_match(spark: Spark, d: str) -> DataFrame:
     asked = table(spark, d, "evalqueries").filter("query_id IS NOT NULL").select("query_id", F.explode("evidence").alias("text")).filter("text IS NOT NULL")
@@ -854,6 +980,14 @@ def evidence_match(spark: Spark, d: str) -> DataFrame:
     return evaluate.evidence_match(evidence, chunks.select("chunk_id", "text"), "eid", "chunk_id")
 
 
+@register("evidence_in_chunks", _EVIDENCE.format(evidence="SELECT DISTINCT item_id AS eid, " + _FORM.format(c="passage") + " AS f FROM testitems WHERE item_id IS NOT NULL AND passage IS NOT NULL"))
+def evidence_in_chunks(spark: Spark, d: str) -> DataFrame:
+    """Which held-out passages stand in which current chunks."""
+    items = table(spark, d, "testitems").filter("item_id IS NOT NULL AND passage IS NOT NULL").select(F.col("item_id").alias("eid"), F.col("passage").alias("text"))
+    chunks = collection.latest(table(spark, d, "chunks").filter("text IS NOT NULL").select("chunk_id", "text", "ingested_at"), ["chunk_id"], ["ingested_at"])
+    return evaluate.evidence_match(items, chunks.select("chunk_id", "text"), "eid", "chunk_id")
+
+
 @register("record_resume", "SELECT DISTINCT query_id FROM evalqueries WHERE query_id IS NOT NULL AND query_id NOT IN (SELECT query_id FROM passages WHERE query_id IS NOT NULL)")
 def record_resume(spark: Spark, d: str) -> DataFrame:
     asked = table(spark, d, "evalqueries").filter("query_id IS NOT NULL").select("query_id").distinct()

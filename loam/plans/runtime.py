@@ -17,11 +17,13 @@ MAX_BROADCAST_ROWS = 50_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make a local one only where none is configured."""
+    """Use the cluster's shared checkpoint folder; only a session on a single machine may go without one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="loam-checkpoint-"))
 
 
@@ -64,14 +66,18 @@ def with_slots(df: DataFrame, key: str, spread: str, rows_per_slot: int) -> Data
     return out.withColumn("_slot", F.pmod(F.xxhash64(spread), F.col("_slots").cast("long")).cast("int"))
 
 
+#: Bytes of input that may be dealt out over the cores; a larger input has enough partitions of its own or is left as it is.
+MOST_DEALT = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly row-wise work on an input of few partitions.
 
-    An input with fewer partitions than the cluster has cores is small (a partition is at most
-    ``spark.sql.files.maxPartitionBytes``), so dealing its rows out costs little; a larger input is left alone,
-    and so is one that comes out of a shuffle, which asking for its partitions would already run.
+    Only an input that the optimiser knows to be below ``MOST_DEALT`` bytes is dealt out, so what moves is bounded whatever
+    the number of cores; one that comes out of a shuffle is left alone, which asking for its partitions would already run.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or int(str(plan.optimizedPlan().stats().sizeInBytes())) > MOST_DEALT:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

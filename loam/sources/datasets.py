@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CORPUS = "id string, _id string, title string, text string, format string"
@@ -38,7 +38,7 @@ def beir(spark: SparkSession, path: str, split: str = "test", max_queries: int |
     queries = spark.read.schema("_id string, text string").json(f"{path}/queries.jsonl").select(F.col("_id").alias("query_id"), "text")
     queries = sample_by_hash(queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), "query_id", max_queries, seed)
     qrels = qrels.join(queries.select("query_id"), "query_id", "left_semi")
-    docs = spark.read.schema(CORPUS).json(f"{path}/corpus.jsonl").filter("length(trim(text)) > 0").select(F.col("_id").alias("doc_id"), "title", "text")
+    docs = spark.read.schema(CORPUS).json(f"{path}/corpus.jsonl").filter("length(trim(text)) > 0").select(F.col("_id").alias("doc_id"), "title", "text", F.lit("text").alias("format"))
     if distractors is not None:
         needed = docs.join(qrels.select(F.col("unit").alias("doc_id")), "doc_id", "left_semi")
         others = docs.join(qrels.select(F.col("unit").alias("doc_id")), "doc_id", "left_anti")
@@ -53,16 +53,29 @@ _QASPER = (
 )
 
 
+#: Evidence that points at a figure or a table; their texts are not in the paper's.
+FLOATS = r"(?i)^(FLOAT SELECTED|TABLE|FIGURE)"
+
+
+def _section(s: Column) -> Column:
+    """A section's heading, if it has a name, and its paragraphs that hold anything."""
+    name, paragraphs = F.trim(F.coalesce(s["section_name"], F.lit(""))), F.coalesce(s["paragraphs"], F.array().cast("array<string>"))
+    filled = F.filter(F.transform(paragraphs, lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_join(F.concat(F.when(name != "", F.array(F.concat(F.lit("## "), name))).otherwise(F.array().cast("array<string>")), filled), "\n\n")
+
+
 def qasper(spark: SparkSession, path: str, max_papers: int | None = None, seed: int = 0) -> EvalSet:
-    """Papers as Markdown; the first annotator's answer; figure references are no evidence; scope is the paper."""
+    """Papers as Markdown; the first annotator's answer; figures and tables are no evidence; scope is the paper."""
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _QASPER)).alias("doc_id", "paper"))
     papers = sample_by_hash(whole, "doc_id", max_papers, seed)
-    section = lambda s: F.concat(F.lit("## "), F.coalesce(s["section_name"], F.lit("")), F.lit("\n\n"), F.array_join(s["paragraphs"], "\n\n"))
-    text = F.concat(F.lit("# "), "paper.title", F.lit("\n\n"), F.coalesce("paper.abstract", F.lit("")), F.lit("\n\n"), F.array_join(F.transform("paper.full_text", section), "\n\n"))
-    docs = papers.select("doc_id", F.col("paper.title").alias("title"), text.alias("text"))
+    title, abstract = F.coalesce("paper.title", F.lit("")), F.coalesce("paper.abstract", F.lit(""))
+    sections = F.filter(F.transform(F.coalesce("paper.full_text", F.array().cast("array<struct<section_name:string,paragraphs:array<string>>>")), _section), lambda t: t != "")
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("# "), title), F.lit("## Abstract"), abstract), sections), "\n\n")
+    docs = papers.select("doc_id", title.alias("title"), text.alias("text"), F.lit("markdown").alias("format"))
     asked = papers.select("doc_id", F.explode("paper.qas").alias("q")).withColumn("a", F.get(F.col("q.answers"), 0)["answer"])
-    evidence = F.filter(F.coalesce("a.evidence", F.array().cast("array<string>")), lambda e: ~e.startswith("FLOAT SELECTED"))
-    kind = F.when(F.col("a.unanswerable"), "unanswerable").when(F.size("a.extractive_spans") > 0, "extractive").when(F.col("a.yes_no").isNotNull(), "yesno").otherwise("abstractive")
+    listed = F.transform(F.coalesce("a.evidence", F.array().cast("array<string>")), lambda e: F.trim(e))
+    evidence = F.filter(listed, lambda e: e.isNotNull() & (e != "") & ~e.rlike(FLOATS))
+    kind = F.when(F.col("a.unanswerable"), "unanswerable").when(F.col("a.yes_no").isNotNull(), "yes_no").when(F.size("a.extractive_spans") > 0, "extractive").otherwise("free_form")
     queries = asked.select(
         F.col("q.question_id").alias("query_id"), F.col("q.question").alias("text"), (~F.coalesce("a.unanswerable", F.lit(False))).alias("answerable"), F.col("doc_id").alias("scope"), evidence.alias("evidence"), kind.alias("type")
     ).filter("NOT answerable OR size(evidence) > 0")

@@ -1,5 +1,9 @@
 import math
 
+import http.server
+import json
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,7 +110,7 @@ def test_client_retries_and_cache(spark):
 def test_html_and_files(spark, tmp_path):
     page = "<html><title>T &amp; U</title><nav>menu</nav><h1>Top</h1><p>a  b</p><ul><li>x</li><li> </li></ul><pre>c\n d</pre><table><tr><th>h</th></tr><tr><td>1</td></tr></table></html>"
     title, md = files.html_to_markdown(page)
-    assert title == "T & U" and md.split("\n") == ["# Top", "", "a b", "", "- x", "", "```", "c", " d", "```", "", "| h |", "| --- |", "| 1 |"]
+    assert title == "T & U" and md.split("\n") == ["# Top", "", "a b", "", "- x", "", "```", "c", " d", "```", "", "| h |", "|---|", "| 1 |"]
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.md").write_text("# Hello\n\ntext")
     (tmp_path / "b.html").write_text(page)
@@ -152,7 +156,9 @@ def test_pipeline_end_to_end(spark, tmp_path):
 
 
 def test_env_and_slots(spark):
-    assert config.parse_env("# c\nexport A='x y'\nB=1 # z\nbad line") == {"A": "x y", "B": "1"}
+    assert config.parse_env("# c\nexport A='x y'\nB=1 # z\n\nC=\"a\\nb\" # n\nD=") == {"A": "x y", "B": "1", "C": "a\nb", "D": ""}
+    with pytest.raises(ValueError, match="line 2"):
+        config.parse_env("A=1\nbad line")
     df = spark.createDataFrame([("hot", i) for i in range(100)] + [("cold", 1)], "k string, v long")
     rows = runtime.with_slots(df, "k", "v", 30).collect()
     assert {r._slots for r in rows if r.k == "hot"} == {4} and {r._slots for r in rows if r.k == "cold"} == {1} and len(rows) == 101
@@ -171,6 +177,9 @@ def test_long_quotations_need_most_of_their_sequences(spark):
     e = spark.createDataFrame([("e1", "One two three four five six seven."), ("e2", "zwei Wörter"), ("e3", "")], "eid string, text string")
     p = spark.createDataFrame([(1, "so one, two three FOUR five six seven!"), (2, "one two three four five but not"), (3, "mit zwei w rter hier"), (4, None)], "pid long, text string")
     assert {(r.eid, r.pid) for r in evaluate.evidence_match(e, p, "eid", "pid").collect()} == {("e1", 1), ("e2", 3)}
+    inside = spark.createDataFrame([("e4", "cat sat"), ("e4", "cat sat")], "eid string, text string")
+    assert {(r.eid, r.pid) for r in evaluate.evidence_match(inside, spark.createDataFrame([(1, "The bobcat satisfied."), (2, "cat")], "pid long, text string"), "eid", "pid").collect()} == {("e4", 1)}
+    assert evaluate.evidence_match(inside.limit(0), p, "eid", "pid").count() == 0
     assert evaluate.longest_common_share("abcd", "xxbcdx") == 0.75
 
 
@@ -190,7 +199,115 @@ def test_screening_cuts_paragraphs_and_keeps_their_neighbours(spark, tmp_path):
     assert {r.chunker for r in off.chunk(off.documents(docs)).collect()} == {"structural"}
 
 
-@pytest.mark.parametrize("values", [{"taxonomy": {"fields": [{"name": "product", "options": ["api", "other"], "route": True}]}}, {"retrieve": {"route": {"min_candidates": 2}}}])
-def test_pipeline_rejects_routing_and_tags(spark, values):
-    with pytest.raises(ValueError, match="taxonomy|route"):
-        Pipeline(spark, config.build(config.Config, values))
+def test_documents_that_change_leave_nothing_behind(spark, tmp_path):
+    p = Pipeline(spark, config.build(config.Config, {"store": str(tmp_path), "embedder": "hash:16"}))
+    make = lambda text: spark.createDataFrame([("d", text, "T"), ("e", "Refunds take five working days to arrive.", "T")], "doc_id string, text string, title string")
+    p.ingest(make("Invoices are sent on the first day of each month."), "kb")
+    p.ingest(make("We use a cookie for privacy reasons."), "kb")
+    assert {r.doc_id for r in p.collection("kb").read().collect()} == {"e"}
+    ids = {r.id for r in p.collection("kb").read().collect()}
+    assert {r.doc_id for r in p.ingest(make("We use a cookie for privacy reasons."), "kb", limit=1, force=True).collect()} == {"d"} and {r.id for r in p.collection("kb").read().collect()} == ids
+
+
+def test_tags_routing_and_metadata(spark, tmp_path):
+    taxonomy = {"fields": [{"name": "product", "options": ["api", "billing", "other"], "route": True}]}
+    cfg = config.build(config.Config, {"store": str(tmp_path), "embedder": "hash:64", "taxonomy": taxonomy, "retrieve": {"route": {"min_candidates": 1}}})
+    with pytest.raises(ValueError, match="needs a router"):
+        Pipeline(spark, cfg)
+
+    def scorer(chunks):
+        tagged = F.when(F.lower("text").contains("invoice"), "billing").otherwise("api")
+        return chunks.withColumns(enrich.rule_scores(F.col("text"))).withColumns({"product_choice": tagged, "product_confidence": F.lit(0.9)})
+
+    def router(asked):
+        sure = F.when(F.col("text").contains("invoice"), F.create_map(F.lit("billing"), F.lit(0.9), F.lit("api"), F.lit(0.05), F.lit("other"), F.lit(0.05)))
+        return asked.withColumn("product_probabilities", sure.otherwise(F.create_map(F.lit("billing"), F.lit(0.1), F.lit("api"), F.lit(0.1), F.lit("other"), F.lit(0.8))))
+
+    p = Pipeline(spark, cfg, scorer=scorer, router=router)
+    docs = [("b", "Invoices are sent on the first day of each month.", "B", {"team": "x"}), ("a", "Tokens of the interface expire when the invoice month ends.", "A", {"team": "y"}), ("t", "Limits of the interface are counted by day of each month.", "T", None)]
+    p.ingest(spark.createDataFrame(docs, "doc_id string, text string, title string, metadata map<string,string>"), "kb")
+    assert {r.doc_id: r.tag_product for r in p.collection("kb").read().collect()} == {"b": "billing", "a": "billing", "t": "api"}
+    asked = spark.createDataFrame([("q1", "when is an invoice sent each month"), ("q2", "limits of the interface")], "query_id string, text string")
+    got = {r.query_id: r for r in p.retrieve(asked, "kb").collect()}
+    count = lambda r: len((r.passages or []) + (r.conflicts or []) + (r.dropped or []))
+    assert got["q1"].route_used and count(got["q1"]) == 2 and not got["q2"].route_used and count(got["q2"]) == 3 and not got["q1"].degraded
+    assert {count(r) for r in p.retrieve(asked, "kb", route=False).collect()} == {3}
+    assert {count(r) for r in p.retrieve(asked, "kb", {"eq": {"m_team": "y"}}).collect()} == {1}
+
+
+def test_shadow_keeps_chunks_and_tells_what_would_happen(spark):
+    df = spark.createDataFrame([("a", 0.9, 0.0, 0.0), ("b", 0.0, 0.9, 0.0), ("c", 0.0, 0.0, 0.0)], "id string, instructs_ai double, boilerplate double, low_information double")
+    rows = {r.id: r for r in enrich.enrich(df, enrich.Thresholds(mode="shadow")).collect()}
+    assert {i: r.shadow_action for i, r in rows.items()} == {"a": "quarantine", "b": "drop_boilerplate", "c": None}
+    assert {r.action for r in rows.values()} == {"keep"} and not any(r.quarantined for r in rows.values())
+
+
+def test_collections_write_only_what_changes(spark, tmp_path):
+    c = collection.Collection(spark, str(tmp_path), "x", buckets=4)
+    rows = spark.createDataFrame([(str(i), i) for i in range(40)], "id string, v int")
+    c.upsert(rows)
+    before = c._current()["folders"]
+    c.upsert(spark.createDataFrame([("7", 1), ("7", 2)], "id string, v int").coalesce(1))
+    after = c._current()["folders"]
+    assert sum(before[b] != after[b] for b in before) == 1 and {r.id: r.v for r in c.read().collect()} == {str(i): i if i != 7 else 2 for i in range(40)}
+    c.upsert(spark.createDataFrame([("8", 1, "new")], "id string, v int, w string"))
+    assert {r.id: r.w for r in c.read().collect()}["8"] == "new" and c.read().count() == 40
+    stale = c._current()
+    c.delete(rows.filter("v < 10").select("id"))
+    assert c.read().count() == 30
+    with pytest.raises(collection.ConcurrentUpdate):
+        c._commit(stale, rows, None)
+    assert c.read().count() == 30
+
+
+def test_broken_connections_are_tried_again():
+    calls = []
+
+    def transport(body):
+        calls.append(body)
+        if len(calls) < 3:
+            raise ConnectionResetError("gone")
+        return 200, {}, {"answers": {"x": {"noul": 0.5}}}
+
+    assert scoring.Client("m", transport).ask("s", {"x": {}}, scoring.Bucket(100), scoring.Bucket(1e6), lambda _: None) == {"x": {"noul": 0.5}} and len(calls) == 3
+    calls.clear()
+    with pytest.raises(ConnectionError):
+        scoring.Client("m", transport, retries=1).ask("s", {"x": {}}, scoring.Bucket(100), scoring.Bucket(1e6), lambda _: None)
+
+
+def test_requests_go_out_together_and_over_http(spark):
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            reply = {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])][::-1]} if "input" in body else {"answers": {"x": {"noul": len(body["state"]) / 10}}}
+            self.send_response(400 if body.get("state") == "bad" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(reply).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        rows = spark.createDataFrame([("a",), ("abcde",), ("bad",)], "state string")
+        got = {r.state: (r.answers, r.error) for r in scoring.score_rows(rows, scoring.Client("m", scoring.http_transport(url)), {"x": {}}, tasks=2).collect()}
+        assert json.loads(got["abcde"][0]) == {"x": {"noul": 0.5}} and got["bad"][0] is None and "400" in got["bad"][1]
+        texts = spark.createDataFrame([("abc",), (None,)], "t string")
+        assert [r[0] for r in texts.select(vectors.embedder(f"http:2:m@{url}")(F.col("t"))).collect()] == [[3.0, 1.0], [1.0, 1.0]]
+    finally:
+        server.shutdown()
+    local = vectors.local_embedder(lambda: lambda texts: [[1.0] for _ in texts], 1)
+    assert [r[0] for r in texts.select(local(F.col("t"))).collect()] == [[1.0], [1.0]]
+
+
+def test_qasper(spark, tmp_path):
+    answer = lambda **more: [{"answer": {"unanswerable": False, "extractive_spans": [], "yes_no": None, "free_form_answer": "", "evidence": [], **more}}]
+    paper = {"title": "P", "abstract": "Abs.", "full_text": [{"section_name": "Intro", "paragraphs": ["One.", " "]}, {"section_name": "", "paragraphs": ["Two."]}, {"section_name": " ", "paragraphs": []}],
+             "qas": [{"question": "a?", "question_id": "q1", "answers": answer(evidence=["One.", "TABLE 1", "FLOAT SELECTED: x", " "], yes_no=True, extractive_spans=["One"])}, {"question": "b?", "question_id": "q2", "answers": answer(evidence=["Figure 2: y"])},
+                     {"question": "c?", "question_id": "q3", "answers": answer(unanswerable=True)}]}
+    (tmp_path / "q.json").write_text(json.dumps({"p1": paper}))
+    data = datasets.load(spark, f"qasper:{tmp_path}/q.json")
+    assert data.docs.first().text == "# P\n\n## Abstract\n\nAbs.\n\n## Intro\n\nOne.\n\nTwo."
+    assert {(r.query_id, r.answerable, r.type, tuple(r.evidence)) for r in data.queries.collect()} == {("q1", True, "yes_no", ("One.",)), ("q3", False, "unanswerable", ())}

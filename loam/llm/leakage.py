@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,7 @@ class Items:
         cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
         self.hash, self.owner, self.place = cat(hashes, np.int64), cat(owners, np.int64), cat(places, np.int64)
         self.grams = np.unique(self.hash)
+        self.short = [i for i, seq in enumerate(self.seqs) if 0 < len(seq) < GRAM]
 
     def numbers(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
@@ -123,6 +124,16 @@ def _lookup(items: Items, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     return row, at - starts[row], g, seqs
 
 
+def _whole(items: Items, seqs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(text number, item) of every passage too short for seeds that a text holds as consecutive tokens."""
+    for o in items.short:
+        item = items.seqs[o]
+        for r, seq in enumerate(seqs):
+            n = len(seq) - len(item) + 1
+            if n > 0 and np.logical_and.reduce([seq[k : k + n] == token for k, token in enumerate(item)]).any():
+                yield r, o
+
+
 def _count_sequences(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(items.grams), np.int64)
@@ -257,7 +268,7 @@ def _find(items: Items, seed: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, place, g, seqs = _lookup(items, batch.column("text").to_pylist())
-            best: dict[tuple[int, int], tuple[float, float]] = {}
+            best: dict[tuple[int, int], tuple[float, float]] = dict.fromkeys(_whole(items, seqs), (1.0, 1.0))
             if len(row):
                 for r, o, d, exact in zip(*(x.tolist() for x in candidates(row, place, g)), strict=True):
                     item = items.seqs[o]
@@ -282,18 +293,18 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id, covered, identity): documents that hold at least half of an item's passage.
 
     Null or empty passages and texts give no rows; equal passages under several items are aligned
-    once and reported for each; a passage of fewer than five tokens has no seeds and is not found.
+    once and reported for each. A passage of fewer than five tokens has no seeds: it is searched for as a whole.
     ``covered`` and ``identity`` are those of the best alignment. Further columns are ignored.
     """
     spark = documents.sparkSession
     rows = items.filter("item_id IS NOT NULL AND length(passage) > 0").select("item_id", "passage").distinct()
     texts = documents.filter("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passages = [r.passage for r in rows.select("passage").distinct().orderBy("passage").collect()]
     texts = spread(texts)
     shape = "item_id long, doc_id long, covered double, identity double"
     out = None
-    for start in range(0, len(passages), BLOCK):
-        part = passages[start : start + BLOCK]
+    # items are a stated query set: one block of passages at a time is on the driver
+    distinct = rows.select("passage").distinct().orderBy("passage").toLocalIterator()
+    while part := [r.passage for r in islice(distinct, BLOCK)]:
         block = Items(part)
         counts = texts.select("text").mapInArrow(_count_sequences(block), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect()
         seen = np.zeros(len(block.grams), np.int64)
@@ -305,7 +316,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
                 seen[r.gram] = r.docs
         found = texts.mapInArrow(_find(block, choose_seeds(block, seen, docs)), "doc_id long, passage_no long, covered double, identity double")
         numbers = F.broadcast(spark.createDataFrame(list(enumerate(part)), "passage_no long, passage string"))
-        named = found.join(numbers, "passage_no").join(F.broadcast(rows.filter(F.col("passage").isin(part)) if len(passages) > BLOCK else rows), "passage")
+        named = found.join(numbers, "passage_no").join(rows, "passage")
         named = named.select(F.col("item_id").cast("long").alias("item_id"), "doc_id", "covered", "identity")
         out = named if out is None else out.unionByName(named)
     return spark.createDataFrame([], shape) if out is None else out

@@ -103,21 +103,41 @@ def _current_chunks(spark: SparkSession, d: str) -> DataFrame:
     large = splitting.oversized(chunks)
     checked = join_small(large, latest, ["chunk_id"], "left", salt=F.col("_tie"))
     current = checked.filter(F.col("_last").isNull() | (F.col("_at") == F.col("_last")))
-    return current.select(F.col("chunk_id").alias("id"), "doc_id", "text", "section_path", "max_tokens", "overlap_tokens")
-
-
-def _chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.pieces(_current_chunks(spark, d).withColumn("lang", F.lit(None).cast("string")))
+    columns = ["doc_id", "text", "section_path", "max_tokens", "overlap_tokens"]
+    # of recordings of one moment, repeated or not, one counts; only oversized chunks meet here
+    one = current.groupBy("chunk_id").agg(F.min_by(F.struct(*columns), F.struct("_tie", "doc_id")).alias("c"))
+    return one.select(F.col("chunk_id").alias("id"), *[F.col(f"c.{c}").alias(c) for c in columns])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks too large for their configuration: those the splitter cuts."""
-    return _chunk_pieces(spark, d).filter("piece_index = 1").select(F.col("id").alias("chunk_id")).distinct()
+    rows = _current_chunks(spark, d).withColumn("lang", F.lit(None).cast("string"))
+    return splitting.pieces(rows, checked=True).filter("piece_index = 1").select(F.col("id").alias("chunk_id")).distinct()
 
 
 def p7_chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Every piece of every oversized chunk."""
-    return _chunk_pieces(spark, d).withColumnRenamed("id", "chunk_id")
+    """Every piece of every oversized chunk, cut by the rules of its document's language."""
+    langs = table(spark, d, "documents").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    rows = _current_chunks(spark, d).join(langs, "doc_id", "left")
+    return splitting.pieces(rows, checked=True).withColumnRenamed("id", "chunk_id")
+
+
+def p7_limits_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per oversized chunk: pieces over the limit, that overlap too much, or that do not follow their neighbour."""
+    from pyspark.sql import Window
+
+    limits = _current_chunks(spark, d).select(F.col("id").alias("chunk_id"), "max_tokens", "overlap_tokens", "text")
+    order = Window.partitionBy("chunk_id").orderBy("piece_index")
+    made = p7_chunk_pieces(spark, d).withColumns({"before_end": F.lag("piece_end").over(order), "before_start": F.lag("piece_start").over(order)}).join(limits, "chunk_id")
+    shared = F.substring("text", F.col("piece_start") + 1, F.greatest(F.col("before_end") - F.col("piece_start"), F.lit(0)))
+    count = lambda wrong: F.count(F.when(wrong, 1))
+    return made.groupBy("chunk_id").agg(
+        count((F.col("piece_tokens") > F.col("max_tokens")) & F.col("piece_text").rlike(r"\s")).alias("too_large"),
+        count(splitting.estimated_tokens(shared) > F.col("overlap_tokens")).alias("shared_too_much"),
+        count(F.col("piece_start") <= F.col("before_start")).alias("out_of_order"),
+        count(F.substring("text", F.col("piece_start") + 1, F.col("piece_end") - F.col("piece_start")) != F.col("piece_text")).alias("wrong_text"),
+        count(F.length(F.regexp_replace(F.substring("text", F.col("before_end") + 1, F.greatest(F.col("piece_start") - F.col("before_end"), F.lit(0))), r"[\s\p{Z}\x85]+", "")) > 0).alias("left_out"),
+    )
 
 
 def p7_document_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -215,6 +235,17 @@ s AS (
   FROM cur LEFT JOIN chunkconfigs c USING (config_id) WHERE rn = 1
 )
 SELECT chunk_id FROM s
+WHERE len(runs) + len(others) + (len(list_filter(runs, lambda x: length(x) > 8)) // 2) > cap""",
+    "p7_limits_kept": """
+WITH d AS (SELECT max_tokens FROM chunkconfigs WHERE is_default),
+cur AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST) AS rn FROM chunks),
+s AS (
+  SELECT chunk_id, coalesce(c.max_tokens, (SELECT max_tokens FROM d)) AS cap,
+         regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS runs,
+         regexp_extract_all(text, '[^\\p{L}\\p{N}_\\s\\p{Z}]') AS others
+  FROM cur LEFT JOIN chunkconfigs c USING (config_id) WHERE rn = 1
+)
+SELECT chunk_id, 0 AS too_large, 0 AS shared_too_much, 0 AS out_of_order, 0 AS wrong_text, 0 AS left_out FROM s
 WHERE len(runs) + len(others) + (len(list_filter(runs, lambda x: length(x) > 8)) // 2) > cap""",
     "p2_found": _P2_RANKS.format(where="WHERE query_id NOT IN (SELECT query_id FROM evalqueries WHERE answerable = false AND query_id IS NOT NULL)")
     + "SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(significance, 12), round(mean_rank, 6), chunk_id) AS k FROM sig) WHERE k = 1",

@@ -4,7 +4,7 @@ Every gap between two tokens has a strength: section heading above paragraph abo
 sentence above clause above word. A sparse table answers in constant time where the strongest gap of
 a range is, the rightmost of equal ones. From the start of a piece the range of permissible ends is
 known from running sizes, so each cut is one query; the next piece starts ``overlap`` tokens before
-the cut, moved to a boundary where one is near. Sizes are those of the token estimate: runs of
+the cut, or at the strongest end of a sentence or more that a second query finds in the later half of the overlap. Sizes are those of the token estimate: runs of
 letters, digits and underscores, other non-blank characters, and half the long runs, rounded down.
 """
 
@@ -98,51 +98,84 @@ def boundary_strengths(text: str, tokens: list[tuple[int, int, int]], lang: str
 def cut(text: str, limit: int, overlap: int = 0, lang: str | None = None) -> list[tuple[int, int]]:
     """Pieces of a text as (start, end) offsets, each of at most ``limit`` tokens.
 
-    A text within the limit is one piece without its outer blanks; an empty one gives none. An
-    overlap of half the limit or more is reduced to less than half. A single token is never cut.
+    A text within the limit is one piece without its outer blanks; an empty one gives none. Neighbours share
+    at most ``overlap`` tokens, and at least half as many; an overlap that leaves no room for a piece of its own is
+    one token less than the limit. A single token is never cut.
     """
     tokens = _tokens(text)
     n = len(tokens)
     if not n:
         return []
     limit = max(int(limit), 1)
-    overlap = max(0, min(int(overlap), (limit - 1) // 2))
+    overlap = max(0, min(int(overlap), limit - 1))
     longs = np.concatenate([[0], np.cumsum([t[2] for t in tokens])])
     halves = 2 * np.arange(n + 1) + longs  # twice the size, but for the rounding
     fits = lambda a: int(np.searchsorted(halves, halves[a] + 2 * limit + 1, side="right")) - 1
     if fits(0) >= n:
         return [(tokens[0][0], tokens[-1][1])]
-    table = RangeMaximum(boundary_strengths(text, tokens, lang))
+    strength = boundary_strengths(text, tokens, lang)
+    table = RangeMaximum(strength)
+    filled = 2 * max(limit * LEAST_FILL, overlap + 1)
     out, a = [], 0
     while True:
         last = max(fits(a), a + 1)
         if last >= n:
             out.append((tokens[a][0], tokens[-1][1]))
             return out
-        least = int(np.searchsorted(halves, halves[a] + 2 * limit * LEAST_FILL))
+        least = int(np.searchsorted(halves, halves[a] + filled))
         b = table.place(min(max(least, a + 1), last), last + 1)
         out.append((tokens[a][0], tokens[b - 1][1]))
-        back = int(np.searchsorted(halves, halves[b] - 2 * overlap, side="left")) if overlap else b
-        a = max(min(back, b), a + 1)
+        start = b
+        if overlap:
+            start = min(int(np.searchsorted(halves, halves[b] - 2 * overlap)), b)
+            later = min(int(np.searchsorted(halves, halves[b] - overlap)), b - 1)
+            if start < later and strength[best := table.place(start, later + 1)] >= _STRENGTH["sentence"]:
+                start = best
+        a = max(start, a + 1)
+
+
+_TITLES = re.compile(r"^(?:(#{1,6})[ \t]+(.*?)[ \t]*#*|(={1,6})[ \t]*([^=\n]+?)[ \t]*=+)[ \t]*$", re.M)
+
+
+def paths(text: str, starts: list[int], path: list[str] | None) -> list[list[str] | None]:
+    """Section path of every piece: the given one, then the headings of the text that its start lies below.
+
+    A heading that the given path ends with is not repeated. Without headings, and for a piece in front of the first
+    of them, the given path is kept as it is, also where it is missing.
+    """
+    found = [(m.start(), len(m[1] or m[3]), (m[2] or m[4] or "").strip()) for m in _TITLES.finditer(text)]
+    out: list[list[str] | None] = []
+    trail: list[tuple[int, str]] = []
+    at = 0
+    for start in starts:
+        while at < len(found) and found[at][0] <= start:
+            level, title = found[at][1:]
+            trail = [t for t in trail if t[0] < level] + [(level, title)]
+            at += 1
+        titles = [t for _, t in trail if t]
+        if titles and path and path[-1] == titles[0]:
+            titles = titles[1:]
+        out.append([*(path or []), *titles] if titles else path)
+    return out
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "piece_index", "piece_start", "piece_end", "piece_tokens", "section_path", "piece_text"]
     for batch in batches:
-        picks, index, starts, ends, sizes, texts = [], [], [], [], [], []
-        columns = [batch.column(c).to_pylist() for c in ("text", "max_tokens", "overlap_tokens", "lang")]
-        for row, (text, limit, overlap, lang) in enumerate(zip(*columns, strict=True)):
-            for k, (a, b) in enumerate(cut(text, limit, overlap, lang)):
-                piece = text[a:b]
+        picks, index, starts, ends, sizes, sections, texts = [], [], [], [], [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("text", "max_tokens", "overlap_tokens", "lang", "section_path")]
+        for row, (text, limit, overlap, lang, path) in enumerate(zip(*columns, strict=True)):
+            made = cut(text, limit, overlap, lang)
+            sections.extend(paths(text, [a for a, _ in made], path))
+            for k, (a, b) in enumerate(made):
                 picks.append(row)
                 index.append(k)
                 starts.append(a)
                 ends.append(b)
-                sizes.append(size(piece))
-                texts.append(piece)
-        at = pa.array(picks, pa.int64())
-        arrays = [batch.column("id").take(at), pa.array(index, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(sizes, pa.int64())]
-        yield pa.record_batch([*arrays, batch.column("section_path").take(at), pa.array(texts, pa.string())], names=names)
+                texts.append(text[a:b])
+                sizes.append(size(texts[-1]))
+        arrays = [batch.column("id").take(pa.array(picks, pa.int64())), pa.array(index, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(sizes, pa.int64())]
+        yield pa.record_batch([*arrays, pa.array(sections, pa.list_(pa.string())), pa.array(texts, pa.string())], names=names)
 
 
 PIECES = "id long, piece_index int, piece_start long, piece_end long, piece_tokens long, section_path array<string>, piece_text string"
@@ -174,9 +207,10 @@ def oversized(rows: DataFrame) -> DataFrame:
     return rows.filter(estimated_tokens(F.col("text")) > F.col("max_tokens"))
 
 
-def pieces(rows: DataFrame) -> DataFrame:
+def pieces(rows: DataFrame, checked: bool = False) -> DataFrame:
     """Pieces of oversized rows (id, text, lang, section_path, max_tokens, overlap_tokens); see ``PIECES``.
 
-    Only oversized rows are sent to Python; the others give no pieces. No shuffle.
+    Only oversized rows are sent to Python; the others give no pieces. ``checked`` rows are known to be oversized. No shuffle.
     """
-    return oversized(rows).select("id", "text", "lang", "section_path", "max_tokens", "overlap_tokens").mapInArrow(_cut_rows, PIECES)
+    large = rows if checked else oversized(rows)
+    return large.select("id", "text", "lang", "section_path", "max_tokens", "overlap_tokens").mapInArrow(_cut_rows, PIECES)

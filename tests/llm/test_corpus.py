@@ -168,3 +168,26 @@ def test_neighbours_of_any_similarity(spark, tmp_path):
     best = np.argsort(-sim, axis=1)[:, :5]
     assert len(got) == len(x) and all(len(v) == 5 for v in got.values()) and np.sort(sim, axis=1)[:, -5:].max() < 0.9
     assert sum(len(got[i] & set(b.tolist())) for i, b in enumerate(best)) >= 0.9 * best.size
+
+
+def test_overlaps_start_at_sentences_and_are_not_reduced():
+    text = " ".join(f"Alpha beta gamma delta s{i}." for i in range(20))
+    parts = splitting.cut(text, 30, 12)
+    assert all(text[b] == "A" for b, _ in parts) and all(6 <= splitting.size(text[q[0] : p[1]]) <= 12 for p, q in zip(parts, parts[1:]))
+    words = " ".join("w" for _ in range(60))
+    parts = splitting.cut(words, 10, 8)
+    assert all(splitting.size(words[q[0] : p[1]]) == 8 for p, q in zip(parts, parts[1:])) and parts[-1][1] == len(words)
+    assert all(q[0] > p[0] for p, q in zip(parts, parts[1:]))
+
+
+def test_pieces_know_their_section():
+    text = "intro\n# A\nx\n## B\ny\n# C ##\nz"
+    starts = [0, text.index("x"), text.index("y"), text.index("z")]
+    assert splitting.paths(text, starts, ["T"]) == [["T"], ["T", "A"], ["T", "A", "B"], ["T", "C"]]
+    assert splitting.paths(text, [0], None) == [None] and splitting.paths("# A\nx", [0], ["T", "A"]) == [["T", "A"]]
+
+
+def test_short_passages_are_found_whole(spark):
+    docs = spark.createDataFrame([(10, "One two, THREE four five."), (11, "two three five"), (12, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "two three four"), (2, "  "), (3, "two three four")], "item_id long, passage string")
+    assert {(r.item_id, r.doc_id, r.covered) for r in leakage.leaked(docs, items).collect()} == {(1, 10, 1.0), (3, 10, 1.0)}

@@ -53,19 +53,27 @@ def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str, salt:
     return salted.join(small.withColumn("_salt", F.explode(slots)), [*on, "_salt"], how).drop("_salt")
 
 
-def with_slots(df: DataFrame, key: str, spread: str, rows_per_slot: int) -> DataFrame:
-    """Add ``_slots`` (how many tasks share the key) and ``_slot`` (this row's one).
+def hot_keys(df: DataFrame, key: str, rows_per_slot: int) -> DataFrame:
+    """(key, _slots) of the keys with more than ``rows_per_slot`` rows, counted once and written; usually a few or none."""
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slot)
+    return materialize(hot.select(key, F.ceil(F.col("_n") / rows_per_slot).cast("int").alias("_slots")))
+
+
+def place(df: DataFrame, hot: DataFrame, key: str, spread: str) -> DataFrame:
+    """Add ``_slots`` (how many tasks share the key) and ``_slot`` (this row's one), given the hot keys.
 
-    Keys up to ``rows_per_slot`` rows get one slot; a larger key gets as many as it needs, rows
-    being assigned by the hash of ``spread``, so equal ``spread`` values stay together.
+    Rows of a hot key are assigned by the hash of ``spread``, so equal ``spread`` values stay together.
     """
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_slot)
-    hot = materialize(hot.select(key, F.ceil(F.col("_n") / rows_per_slot).cast("int").alias("_slots")))
     out = join_small(df, hot, [key], "left", salt=F.xxhash64(spread))
     out = out.withColumn("_slots", F.coalesce("_slots", F.lit(1)))
     return out.withColumn("_slot", F.pmod(F.xxhash64(spread), F.col("_slots").cast("long")).cast("int"))
 
 
+def with_slots(df: DataFrame, key: str, spread: str, rows_per_slot: int) -> DataFrame:
+    """``place`` with the hot keys of ``df`` itself."""
+    return place(df, hot_keys(df, key, rows_per_slot), key, spread)
+
+
 #: Bytes of input that may be dealt out over the cores; a larger input has enough partitions of its own or is left as it is.
 MOST_DEALT = 1 << 30
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.plans.runtime import with_slots
+from loam.plans.runtime import hot_keys, place
 
 #: Most rows of one group that one task handles at a time.
 ROWS_PER_SLOT = 50_000
@@ -168,11 +168,13 @@ def top_n(df: DataFrame, group: str, item: str, score: str, tie_score: str, vers
         F.coalesce(F.unix_micros(F.col(version).cast("timestamp")), F.lit(-(2**63))).alias("version"),
     )
     rows = rows.withColumn("tiebreak", F.xxhash64("score", "tie_score"))
-    placed = with_slots(rows, "group_id", "item_id", rows_per_slot)
-    placed = placed.repartition("group_id", "_slot").sortWithinPartitions("group_id", "_slot")
-    local = placed.mapInArrow(_selector(n, True), placed.schema)
-    small = local.filter("_slots = 1")
-    merged = local.filter("_slots > 1").withColumn("_slot", F.lit(0)).repartition("group_id").sortWithinPartitions("group_id", "_slot")
-    merged = merged.mapInArrow(_selector(n, False), placed.schema)
+    hot = hot_keys(rows, "group_id", rows_per_slot)
+    placed = place(rows, hot, "group_id", "item_id")
+    # rows of ordinary and of hot groups go through exchanges of their own, each row through one
+    by_slot = lambda part: part.repartition("group_id", "_slot").sortWithinPartitions("group_id", "_slot").mapInArrow(_selector(n, True), placed.schema)
+    best = by_slot(placed.filter("_slots = 1"))
+    if not hot.isEmpty():
+        survivors = by_slot(placed.filter("_slots > 1")).withColumn("_slot", F.lit(0))
+        best = best.unionByName(survivors.repartition("group_id").sortWithinPartitions("group_id", "_slot").mapInArrow(_selector(n, False), placed.schema))
     clean = lambda c: F.when(~F.isnan(c), F.col(c))
-    return small.unionByName(merged).select(F.col("group_id").alias(group), F.col("item_id").alias(item), clean("score").alias("score"), clean("tie_score").alias("tie_score"))
+    return best.select(F.col("group_id").alias(group), F.col("item_id").alias(item), clean("score").alias("score"), clean("tie_score").alias("tie_score"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.topn import complete_groups, current_rows, group_numbers
-from loam.plans.runtime import join_small, materialize, with_slots
+from loam.plans.runtime import hot_keys, join_small, materialize, place
 
 #: Most rows of one group that one task ranks by itself.
 ROWS_PER_SLOT = 50_000
@@ -116,7 +116,7 @@ def _rank_hot(hot: DataFrame, scores: list[str]) -> DataFrame:
     wide = looked_up.filter("common_rank IS NOT NULL").withColumnRenamed("common_rank", "rank").unionByName(rare)
     per_item = wide.groupBy("group_id", "item_id").agg(*[F.max(F.when(F.col("field") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(scores))])
     sizes = hot.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
-    per_item = per_item.join(sizes, "group_id")
+    per_item = join_small(per_item, sizes, ["group_id"], "inner", salt=F.xxhash64("item_id"))
     ranks = [F.col(f"r{i}") for i in range(len(scores))]
     return per_item.select(
         "group_id",
@@ -145,12 +145,14 @@ def aggregate_ranks(df: DataFrame, group: str, item: str, scores: list[Column],
         F.coalesce(F.unix_micros(F.col(version).cast("timestamp")), F.lit(-(2**63))).alias("version"),
     )
     rows = rows.withColumn("tiebreak", F.xxhash64(*names))
-    placed = with_slots(rows, "group_id", "item_id", rows_per_slot).repartition("group_id", "_slot").sortWithinPartitions("group_id", "_slot")
+    hot_groups = hot_keys(rows, "group_id", rows_per_slot)
+    placed = place(rows, hot_groups, "group_id", "item_id")
+    by_slot = lambda part: part.repartition("group_id", "_slot").sortWithinPartitions("group_id", "_slot")
     shape = "group_id string, item_id long, significance double, mean_rank double, group_size long"
     shape = shape.replace("group_id string", f"group_id {rows.schema['group_id'].dataType.simpleString()}")
-    small = placed.filter("_slots = 1").mapInArrow(_rank_groups(names, False), shape)
-    hot = placed.filter("_slots > 1").mapInArrow(_rank_groups(names, True), placed.schema).select("group_id", "item_id", *names)
-    if hot.limit(1).count():
+    small = by_slot(placed.filter("_slots = 1")).mapInArrow(_rank_groups(names, False), shape)
+    if not hot_groups.isEmpty():
+        hot = by_slot(placed.filter("_slots > 1")).mapInArrow(_rank_groups(names, True), placed.schema).select("group_id", "item_id", *names)
         small = small.unionByName(_rank_hot(hot, names).select("group_id", "item_id", "significance", "mean_rank", "group_size"))
     return small.withColumnsRenamed({"group_id": group, "item_id": item})
 

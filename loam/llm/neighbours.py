@@ -4,13 +4,14 @@ The trees are built on a bounded sample: a node splits its points by the hyperpl
 two random ones until a leaf holds what corresponds to ``LEAF`` rows of the whole. Every vector is
 indexed in its leaf of each tree. A search enters all trees at once through one shared priority
 queue ordered by the smallest margin on the path, and takes the ``PROBES`` best leaves, whichever
-tree they are in. Inside a leaf the candidates are reranked by exact cosine similarity, as one
-matrix product, and only the best of each query leave the task.
+tree they are in; branches that wait in the queue are never discarded. Leaves hold codes of a byte a
+number, of which the rounding error of every vector is known exactly. One matrix product a leaf bounds
+all similarities from both sides; what cannot be among the best of its query by these bounds is left
+out, however many candidates that keeps, and only the rest is reranked exactly, by cosine of the vectors.
 
 Equal vectors are searched once: a group of copies is represented by its smallest id and knows its
-``k + 1`` smallest ids, which is all that anyone's list of ``k`` can need of it. A leaf that could not
-be split and holds more than ``LARGE_LEAF`` rows is shared out: its queries are spread over tasks
-and its members copied to each.
+``k + 1`` smallest ids, which is all that anyone's list of ``k`` can need of it. A leaf that holds more
+than ``LARGE_LEAF`` rows is shared out: its queries are spread over tasks and its members copied to each.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,7 @@ class Forest:
         self.offsets: list[float] = []
         self.children: list[list[int]] = []
         self.leaves = 0
+        self.depth = 1
         self.roots = [self._grow(sample, np.arange(len(sample)), max(leaf_rows, 2.0), rng, 0) for _ in range(trees)]
         dim = sample.shape[1] if sample.ndim == 2 else 0
         self.plane = np.array(self.planes, np.float32).reshape(len(self.planes), dim)
@@ -76,6 +79,7 @@ class Forest:
                 break
         else:
             return self._leaf()
+        self.depth = max(self.depth, depth + 1)
         node = len(self.planes)
         self.planes.append(plane)
         self.offsets.append(offset)
@@ -86,7 +90,7 @@ class Forest:
     def search(self, x: np.ndarray, probes: int) -> np.ndarray:
         """Leaf numbers (1 ...) of the ``probes`` best leaves of every row, 0 where there are fewer; own leaves first."""
         n, trees = len(x), len(self.roots)
-        width = trees + probes * 24
+        width = trees + probes * self.depth
         prio = np.full((n, width), -np.inf, np.float32)
         node = np.zeros((n, width), np.int64)
         prio[:, :trees] = np.inf
@@ -104,36 +108,32 @@ class Forest:
                 here = at[live]
                 margin = np.einsum("ij,ij->i", x[live], self.plane[here]) - self.offset[here]
                 right = (margin > 0).astype(np.int64)
-                slot = used[live]
-                room = slot < width
-                other = np.minimum(level[live], -np.abs(margin))
-                prio[live[room], slot[room]] = other[room]
-                node[live[room], slot[room]] = self.child[here, 1 - right][room]
-                used[live] += room
+                slot = used[live]  # a search passes at most depth nodes, so there is room for every branch
+                prio[live, slot] = np.minimum(level[live], -np.abs(margin))
+                node[live, slot] = self.child[here, 1 - right]
+                used[live] += 1
                 at[live] = self.child[here, right]
                 live = live[at[live] >= 0]
             out[:, p] = np.where(level > -np.inf, -at, 0)
         return out
 
 
-def _usable(dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, vectors = [], []
-            for i, v in enumerate(batch.column("vector").to_pylist()):
-                if len(v) != dim or None in v:
-                    continue
-                a = np.array(v, np.float32)
-                if np.isfinite(a).all() and a.any():
-                    keep.append(i)
-                    vectors.append((a + np.float32(0)).tobytes())
-            yield pa.record_batch([batch.column("id").take(pa.array(keep, pa.int64())), pa.array(vectors, pa.binary())], names=["id", "vec"])
-
-    return run
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as one binary value each, without a loop."""
+    width = x.shape[1] * x.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, kind: type = np.float32) -> np.ndarray:
+    """Binary values of one width as a matrix."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    size = dim * np.dtype(kind).itemsize
+    parts = []
+    for c in chunks:
+        if len(c):
+            first = np.frombuffer(c.buffers()[1], np.int32, 1, c.offset * 4)[0]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8, len(c) * size, first))
+    return np.concatenate(parts).view(kind).reshape(-1, dim) if parts else np.zeros((0, dim), kind)
 
 
 def _unit(x: np.ndarray, kind: type = np.float64) -> np.ndarray:
@@ -141,61 +141,87 @@ def _unit(x: np.ndarray, kind: type = np.float64) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(kind)
 
 
+def _usable(dim: int):
+    """Rows whose vector has ``dim`` finite numbers that are not all zero, the vector as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("vector")
+            sized = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(column), dim), False))
+            flat = sized.column("vector").flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim) + np.float32(0)
+            good = np.isfinite(x).all(axis=1) & x.any(axis=1)  # a null number has become NaN
+            kept = sized.filter(pa.array(good))
+            yield pa.record_batch([kept.column("id"), kept.column("at"), _binary(x[good])], names=["id", "at", "vec"])
+
+    return run
+
+
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors as (a byte a number, scale, norm of the rounding error)."""
+    unit = _unit(x)
+    scale = np.abs(unit).max(axis=1) / 127
+    code = np.round(unit / scale[:, None]).astype(np.int8)
+    error = np.linalg.norm(unit - code * scale[:, None].astype(np.float32), axis=1)
+    return code, scale.astype(np.float32), (error * 1.0001 + 1e-7).astype(np.float32)
+
+
 def _probe(forest: Forest, trees: int, probes: int, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
-                leaves = forest.search(_unit(_matrix(part.column("vec"), dim), np.float32), probes)
+                x = _matrix(part.column("vec"), dim)
+                leaves = forest.search(_unit(x, np.float32), probes)
+                code, scale, error = encode(x)
                 row, p = np.nonzero(leaves)
-                take = pa.array(row)
                 yield pa.record_batch(
-                    [part.column("gid").take(take), part.column("vec").take(take), pa.array(leaves[row, p]), pa.array(p < trees)], names=["gid", "vec", "leaf", "member"]
+                    [part.column("n").take(pa.array(row)), _binary(code[row]), pa.array(scale[row]), pa.array(error[row]), pa.array(leaves[row, p].astype(np.int32)), pa.array(p < trees)],
+                    names=["n", "code", "scale", "error", "leaf", "member"],
                 )
 
     return run
 
 
-def _rerank(k: int, least: float, dim: int):
+def _candidates(k: int, least: float, dim: int):
+    """Pairs of a leaf that may be among the ``k`` best of their query: (n, other, low, high), bounds of the similarity."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_groups(batches, ["leaf", "_slot"]):
             group = group_numbers(table, ["leaf", "_slot"])
-            ids = np.array(table.column("gid").to_pylist(), object)
-            unit = _unit(_matrix(table.column("vec"), dim))
-            member = table.column("member").to_numpy()
-            asks = table.column("asks").to_numpy()
-            left, right, sims = [], [], []
+            ids = table.column("n").to_numpy()
+            near = _matrix(table.column("code"), dim, np.int8).astype(np.float32) * table.column("scale").to_numpy()[:, None]
+            error = table.column("error").to_numpy()
+            member, asks = table.column("member").to_numpy(), table.column("asks").to_numpy()
+            found: list[tuple[np.ndarray, ...]] = []
             cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                rows = np.arange(a, b)
-                members = rows[member[a:b]]
-                members = members[np.argsort(ids[members])]
-                queries = rows[asks[a:b]]
+                members = np.arange(a, b)[member[a:b]]
+                queries = np.arange(a, b)[asks[a:b]]
                 if not len(members):
                     continue
                 for s in range(0, len(queries), 1024):
                     q = queries[s : s + 1024]
-                    sim = unit[q] @ unit[members].T
-                    sim[ids[q][:, None] == ids[members][None, :]] = -2.0
-                    shown = np.round(sim, 6)
-                    m = min(k, sim.shape[1])
-                    bar = np.maximum(np.partition(shown, sim.shape[1] - m, axis=1)[:, sim.shape[1] - m], least - 1e-6)
-                    r, c = np.nonzero(shown >= bar[:, None])
-                    value = sim[r, c]
-                    ok = value >= least
-                    r, c, value = r[ok], c[ok], value[ok]
-                    order = np.lexsort((c, -shown[r, c], r))
-                    r, c, value = r[order], c[order], value[order]
-                    rank = np.arange(len(r)) - np.searchsorted(r, r)
-                    top = rank < k
-                    left.append(ids[q[r[top]]])
-                    right.append(ids[members[c[top]]])
-                    sims.append(value[top])
-            if left:
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(left), pa.string()), pa.array(np.concatenate(right), pa.string()), pa.array(np.concatenate(sims), pa.float64())],
-                    names=["gid", "other", "similarity"],
-                )
+                    sim = near[q] @ near[members].T
+                    slack = error[q][:, None] + error[members][None, :] + error[q][:, None] * error[members][None, :] + np.float32(1e-5)
+                    low = sim - slack
+                    low[ids[q][:, None] == ids[members][None, :]] = -4.0
+                    m = min(k, low.shape[1])
+                    bar = np.maximum(np.partition(low, low.shape[1] - m, axis=1)[:, low.shape[1] - m], np.float32(least - 1e-5))
+                    r, c = np.nonzero((low + 2 * slack >= bar[:, None]) & (low > -3))
+                    found.append((ids[q[r]], ids[members[c]], low[r, c], (low + 2 * slack)[r, c]))
+            if found:
+                columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                yield pa.record_batch([pa.array(x) for x in columns], names=["n", "other", "low", "high"])
+
+    return run
+
+
+def _cosines(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _unit(_matrix(batch.column("vec"), dim)), _unit(_matrix(batch.column("other_vec"), dim))
+            yield pa.record_batch([batch.column("gid"), batch.column("other"), pa.array(np.einsum("ij,ij->i", a, b))], names=["gid", "other", "similarity"])
 
     return run
 
@@ -210,42 +236,52 @@ def nearest(df: DataFrame, k: int, least: float, id_: str = "id", vector: str =
     """
     spark = df.sparkSession
     source = df.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector"), F.col(version).alias("version"))
-    vectors = source.select("id", "vector", "version").withColumn("at", F.coalesce(F.unix_micros(F.col("version").cast("timestamp")), F.lit(-(2**63))))
-    clean = vectors.select("id", "at", "vector").mapInArrow(_usable_with_time(dim), "id string, at long, vec binary")
-    rows = materialize(clean.groupBy("id").agg(F.max(F.struct("at", "vec")).alias("x")).select("id", F.col("x.vec").alias("vec")))
-    total = rows.count()
+    vectors = source.withColumn("at", F.coalesce(F.unix_micros(F.col("version").cast("timestamp")), F.lit(-(2**63)))).select("id", "at", "vector")
+    clean = materialize(vectors.mapInArrow(_usable(dim), "id string, at long, vec binary"))
+    total = clean.count()
     shape = "id string, other string, similarity double"
     if total == 0:
         return spark.createDataFrame([], shape)
-    copies = materialize(rows.groupBy("vec").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("gid")).filter("n > 1").select("vec", "gid"))
-    members = join_small(rows, copies, ["vec"], "left", salt=F.xxhash64("id")).select("id", "vec", F.coalesce("gid", "id").alias("gid"), F.col("gid").isNotNull().alias("copied"))
-    members = materialize(members)
-    groups = members.filter("id = gid").select("gid", "vec")
+    # only ids that come again and vectors that are shared are compared; the others stay where they are
+    again = materialize(clean.groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("id"))
+    once = join_small(clean, again, ["id"], "left_anti", salt=F.xxhash64("vec")).select("id", "vec")
+    last = join_small(clean, again, ["id"], "left_semi", salt=F.xxhash64("vec")).groupBy("id").agg(F.max(F.struct("at", "vec")).alias("x")).select("id", F.col("x.vec").alias("vec"))
+    rows = once.unionByName(last).withColumn("digest", F.md5("vec"))
+    copies = materialize(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("gid")).filter("c > 1").select("digest", "gid"))
+    members = join_small(rows, copies, ["digest"], "left", salt=F.xxhash64("id")).select("id", "vec", F.coalesce("gid", "id").alias("gid"), F.col("gid").isNotNull().alias("copied"))
+    members = materialize(members.withColumn("n", F.monotonically_increasing_id()))
+    groups = members.filter("id = gid").select("n", "gid", "vec")
 
     part = min(1.0, 1.1 * sample / total)
-    drawn = groups.filter(F.pmod(F.xxhash64(F.lit(seed), "gid"), F.lit(1 << 30)) <= int(part * (1 << 30))).select("vec").limit(sample)
+    drawn = groups.select(F.xxhash64(F.lit(seed), "gid").alias("h"), "vec").filter(F.pmod("h", F.lit(1 << 30)) <= int(part * (1 << 30))).orderBy("h", "vec").limit(sample)
     points = _unit(np.frombuffer(b"".join(bytes(r.vec) for r in drawn.collect()), np.float32).reshape(-1, dim), np.float32)
     forest = Forest(points, trees, leaf * len(points) / total, seed)
-    entries = groups.mapInArrow(_probe(forest, trees, probes, dim), "gid string, vec binary, leaf long, member boolean")
+    entries = groups.select("n", "vec").mapInArrow(_probe(forest, trees, probes, dim), "n long, code binary, scale float, error float, leaf int, member boolean")
     if total > LARGE_LEAF:
         sizes = _leaf_sizes(groups, forest, trees, dim)
-        large = materialize(sizes.filter(F.col("n") > LARGE_LEAF).select("leaf", F.ceil(F.col("n") / LARGE_LEAF).cast("int").alias("_slots")))
-        entries = join_small(entries, large, ["leaf"], "left", salt=F.xxhash64("gid")).withColumn("_slots", F.coalesce("_slots", F.lit(1)))
+        large = materialize(sizes.filter(F.col("n") > LARGE_LEAF).select(F.col("leaf").cast("int").alias("leaf"), F.ceil(F.col("n") / LARGE_LEAF).cast("int").alias("_slots")))
+        entries = join_small(entries, large, ["leaf"], "left", salt=F.xxhash64("n")).withColumn("_slots", F.coalesce("_slots", F.lit(1)))
     else:
         entries = entries.withColumn("_slots", F.lit(1))
-    own = F.pmod(F.xxhash64("gid"), F.col("_slots").cast("long")).cast("int")
+    own = F.pmod(F.xxhash64("n"), F.col("_slots").cast("long")).cast("int")
     spread = F.when(F.col("member"), F.sequence(F.lit(0), F.col("_slots") - 1)).otherwise(F.array(own))
     entries = entries.withColumn("own", own).withColumn("_slot", F.explode(spread)).withColumn("asks", F.col("own") == F.col("_slot"))
-    entries = entries.select("leaf", "_slot", "gid", "vec", "member", "asks").repartition("leaf", "_slot").sortWithinPartitions("leaf", "_slot")
-    pairs = entries.mapInArrow(_rerank(k, least, dim), "gid string, other string, similarity double")
-    pairs = pairs.groupBy("gid", "other").agg(F.max("similarity").alias("similarity"))
+    entries = entries.select("leaf", "_slot", "n", "code", "scale", "error", "member", "asks").repartition("leaf", "_slot").sortWithinPartitions("leaf", "_slot")
+    pairs = entries.mapInArrow(_candidates(k, least, dim), "n long, other long, low float, high float")
+    pairs = pairs.groupBy("n", "other").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    by_query = Window.partitionBy("n")
+    ranked = pairs.withColumn("rn", F.row_number().over(by_query.orderBy(F.desc("low"), "other")))
+    ranked = ranked.withColumn("bar", F.max(F.when(F.col("rn") == k, F.col("low"))).over(by_query))
+    kept = materialize(ranked.filter(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("n", "other"))
+    there = groups.select(F.col("n").alias("other"), F.col("gid").alias("other_gid"), F.col("vec").alias("other_vec"))
+    both = kept.join(there, "other").join(groups, "n").select("gid", F.col("other_gid").alias("other"), "vec", "other_vec")
+    exact = both.mapInArrow(_cosines(dim), "gid string, other string, similarity double").filter(F.col("similarity") >= least)
     by_group = Window.partitionBy("gid").orderBy(F.round("similarity", 6).desc(), "other")
-    best = materialize(pairs.withColumn("rn", F.row_number().over(by_group)).filter(F.col("rn") <= k).drop("rn"))
+    best = materialize(exact.withColumn("rn", F.row_number().over(by_group)).filter(F.col("rn") <= k).drop("rn"))
 
     # copies: a group answers with its k + 1 smallest ids
     in_group = Window.partitionBy("gid").orderBy("id")
-    firsts = members.filter("copied").select("gid", "id").withColumn("rn", F.row_number().over(in_group)).filter(F.col("rn") <= k + 1).drop("rn")
-    firsts = materialize(firsts)
+    firsts = materialize(members.filter("copied").select("gid", "id").withColumn("rn", F.row_number().over(in_group)).filter(F.col("rn") <= k + 1).drop("rn"))
     named = join_small(best, firsts.select(F.col("gid").alias("other"), F.col("id").alias("copy")), ["other"], "left", salt=F.xxhash64("gid"))
     named = named.select("gid", F.coalesce("copy", "other").alias("other"), "similarity")
     same = firsts.select("gid", F.col("id").alias("other"), F.lit(1.0).alias("similarity"))
@@ -270,19 +306,6 @@ def _leaf_sizes(groups: DataFrame, forest: Forest, trees: int, dim: int) -> Data
     return groups.select("vec").mapInArrow(run, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
 
 
-def _usable_with_time(dim: int):
-    plain = _usable(dim)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbered = pa.record_batch([pa.array(np.arange(batch.num_rows)), batch.column("vector")], names=["id", "vector"])
-            for kept in plain(iter([numbered])):
-                at = kept.column("id")
-                yield pa.record_batch([batch.column("id").take(at), batch.column("at").take(at), kept.column("vec")], names=["id", "at", "vec"])
-
-    return run
-
-
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """Unordered pairs of which at least one names the other: (id_a, id_b) with id_a < id_b."""
     return neighbours.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

@@ -21,7 +21,8 @@ import html
 import re
 import struct
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.plans.runtime import spread
+from loam.plans.runtime import materialize, spread
 
 #: A learnt line recurs on so many pages of so many sites.
 LEAST_PAGES = 20
@@ -38,7 +39,7 @@ LEAST_SITES = 2
 LEAST_MARGIN = 0.12
 #: Share of a caption's occurrences that a title of another page follows.
 CAPTION_SHARE = 0.85
-#: Lines the fitted model keeps, the most frequent first; parameter of the model, which is shipped with the tasks.
+#: Learnt lines that are shipped with the tasks, the most frequent first; pages look up all others by a join.
 MODEL_LINES = 50_000
 FURNITURE, CAPTION = 1, 2
 
@@ -108,9 +109,13 @@ _HOST = re.compile(r"([a-z]+)\d*\.[a-z]+$")
 
 @dataclass(frozen=True)
 class LineModel:
-    """Masked lines (as hashes) that pages of a collection share, and what each is."""
+    """Masked lines (as hashes) that pages of a collection share, and what each is.
 
-    kinds: dict[int, int]
+    ``kinds`` are shipped with the tasks; ``rest`` (key, kind) has the lines beyond ``MODEL_LINES`` if there are any.
+    """
+
+    kinds: Mapping[int, int]
+    rest: DataFrame | None = None
 
     def kind(self, line: str, host: str | None) -> int:
         return self.kinds.get(_key(line, host), 0) if self.kinds else 0
@@ -257,7 +262,8 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_model(df: DataFrame, text: str = "text", title: str = "title", site: str = "site") -> LineModel:
     """The lines that pages share, counted over all pages; only hashes and counts are shuffled.
 
-    Of the lines that recur often enough the ``MODEL_LINES`` most frequent are kept. A null site counts as one site.
+    All lines that recur often enough are kept: the ``MODEL_LINES`` most frequent come to the driver, the others stay
+    in the checkpoint folder. A null site counts as one site.
     """
     rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(n) for c, n in ((text, "text"), (title, "title"), (site, "site"))])
     seen = spread(rows.filter("length(text) > 0")).mapInArrow(_observed, "key long, site string, marks byte")
@@ -265,8 +271,57 @@ def line_model(df: DataFrame, text: str = "text", title: str = "title", site: st
     by_site = seen.groupBy("key", F.xxhash64("site").alias("site")).agg(F.count(F.lit(1)).alias("pages"), *[one(bit, name) for bit, name in enumerate(("above", "last", "opens", "titled"))])
     by_line = by_site.groupBy("key").agg(F.count(F.lit(1)).alias("sites"), *[F.sum(c).alias(c) for c in ("pages", "above", "last", "opens", "titled")])
     often = by_line.filter((F.col("pages") >= LEAST_PAGES) & (F.col("sites") >= LEAST_SITES) & (F.col("titled") < 0.02 * F.col("pages")) & (F.col("above") + F.col("last") >= F.greatest(LEAST_MARGIN * F.col("pages"), F.lit(5))))
-    kept = often.orderBy(F.desc("pages"), "key").limit(MODEL_LINES).select("key", (F.col("opens") >= CAPTION_SHARE * F.col("pages")).alias("caption"))
-    return LineModel({r.key: CAPTION if r.caption else FURNITURE for r in kept.collect()})
+    kind = F.when(F.col("opens") >= CAPTION_SHARE * F.col("pages"), CAPTION).otherwise(FURNITURE).alias("kind")
+    learnt = materialize(often.select("key", "pages", kind))
+    first = learnt.orderBy(F.desc("pages"), "key").limit(MODEL_LINES + 1).collect()
+    kinds = {r.key: r.kind for r in first[:MODEL_LINES]}
+    if len(first) <= MODEL_LINES:
+        return LineModel(kinds)
+    after = first[MODEL_LINES]
+    return LineModel(kinds, learnt.filter((F.col("pages") < after.pages) | (F.col("pages") == after.pages) & (F.col("key") >= after.key)).select("key", "kind"))
+
+
+def _line_keys(text: str, site: str | None) -> set[int]:
+    """Keys of all that ``line_kind`` may look up for the lines of a page."""
+    host = _host(site)
+    return {_key(part, host) for x in page_lines(text)[0] if (line := x.strip()) for part in (line, *_parts(line))}
+
+
+def _with_learnt(rows: DataFrame, model: LineModel) -> DataFrame:
+    """Add what the lines of every page are by ``model.rest``: the keys (furniture, captions), null for none.
+
+    Keys meet the learnt lines in a join; those of the hottest lines are shipped and need none. Pages are then joined with
+    their keys by a hash; pages of equal hashes share their keys, which is no harm, as a page looks up only its own lines.
+    """
+    if model.rest is None:
+        none = F.lit(None).cast("array<long>")
+        return rows.withColumns({"furniture": none, "captions": none})
+    shipped = model.kinds
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, keys = [], []
+            for page, text, site in zip(*(batch.column(c).to_pylist() for c in ("page", "text", "site")), strict=True):
+                own = [key for key in _line_keys(text, site) if key not in shipped]
+                pages.extend([page] * len(own))
+                keys.extend(own)
+            yield pa.record_batch([pa.array(pages, pa.int64()), pa.array(keys, pa.int64())], names=["page", "key"])
+
+    hashed = rows.withColumn("page", F.xxhash64("id", "text", "title", "site"))
+    if "Exchange" in hashed._jdf.queryExecution().executedPlan().toString():
+        hashed = materialize(hashed)  # what comes out of a shuffle may choose other rows when it runs again
+    asked = spread(hashed.filter("length(text) > 0").select("page", "text", "site")).mapInArrow(ask, "page long, key long")
+    of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))
+    known = asked.join(model.rest, "key").groupBy("page").agg(of(FURNITURE).alias("furniture"), of(CAPTION).alias("captions"))
+    return hashed.join(known, "page", "left").drop("page")
+
+
+def _walked(batch: pa.RecordBatch, shipped: dict[int, int]) -> Iterator[tuple[str | None, str | None, str | None, LineModel]]:
+    """(text, title, site, model) of every row of ``_with_learnt``."""
+    common = LineModel(shipped)
+    for text, title, site, furniture, captions in zip(*(batch.column(c).to_pylist() for c in ("text", "title", "site", "furniture", "captions")), strict=True):
+        own = dict.fromkeys(furniture or (), FURNITURE) | dict.fromkeys(captions or (), CAPTION)
+        yield text, title, site, LineModel(ChainMap(own, shipped)) if own else common
 
 
 # ---------------------------------------------------------------- rendering
@@ -467,34 +522,36 @@ def _selected(df: DataFrame, key: str, text: str, title: str, site: str) -> Data
 
 
 def furniture_lines(df: DataFrame, key: str, text: str, title: str, site: str = "site", model: LineModel | None = None) -> DataFrame:
-    """Lines outside the main body, numbered from 1: (key, line_no). Texts are not shuffled.
+    """Lines outside the main body, numbered from 1: (key, line_no). Texts are shuffled only if more lines are learnt than are shipped.
 
     Without a ``model`` it is fitted on the given pages. Null and empty texts give no rows; empty lines are
     counted but never reported; a missing title is taken from the breadcrumb if there is one; further columns are ignored.
     """
     rows = _selected(df, key, text, title, site).filter("length(text) > 0")
     fitted = line_model(rows) if model is None else model
+    shipped = fitted.kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             picks, numbers = [], []
-            for row, values in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "title", "site")), strict=True)):
-                hits = furniture_numbers(*values, fitted)
+            for row, values in enumerate(_walked(batch, shipped)):
+                hits = furniture_numbers(*values)
                 picks.extend([row] * len(hits))
                 numbers.extend(hits)
             yield pa.record_batch([batch.column("id").take(pa.array(picks, pa.int64())), pa.array(numbers, pa.int64())], names=["id", "line_no"])
 
-    return spread(rows).mapInArrow(run, "id long, line_no long").withColumnRenamed("id", key)
+    return spread(_with_learnt(rows, fitted)).mapInArrow(run, "id long, line_no long").withColumnRenamed("id", key)
 
 
 def main_texts(df: DataFrame, key: str, text: str, title: str, site: str = "site", model: LineModel | None = None) -> DataFrame:
     """The main body of every row: (key, main_text); a missing text gives an empty one. Without a ``model`` it is fitted on these rows."""
     rows = _selected(df, key, text, title, site)
     fitted = line_model(rows) if model is None else model
+    shipped = fitted.kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = [main_body(*values, fitted) for values in zip(*(batch.column(c).to_pylist() for c in ("text", "title", "site")), strict=True)]
+            bodies = [main_body(*values) for values in _walked(batch, shipped)]
             yield pa.record_batch([batch.column("id"), pa.array(bodies, pa.string())], names=["id", "main_text"])
 
-    return spread(rows).mapInArrow(run, "id long, main_text string").withColumnRenamed("id", key)
+    return spread(_with_learnt(rows, fitted)).mapInArrow(run, "id long, main_text string").withColumnRenamed("id", key)

@@ -59,6 +59,21 @@ def test_lines_that_pages_share(spark):
     assert {r.line_no for r in found.collect()} == {1, 2, 5} and found.count() == 120
 
 
+def test_learnt_lines_beyond_those_shipped(spark, monkeypatch):
+    text = "Gadget corner {i}\nPeek at the basket\nWander off | Odd corner | Blue door\nEver more oddities\nPage about thing {j}\nPage about thing {i}\nIt explains thing {i}.\nKeep in touch with Alpha"
+    pages = [(i, text.format(i=i, j=(i + 1) % 40), f"Page about thing {i}", f"www.alpha{i % 3}.example") for i in range(40)] + [(0, "x", None, None), (None, None, "t", "s")]
+    df = spark.createDataFrame(pages, "doc_id long, text string, title string, site string")
+    lines = sorted(map(tuple, boilerplate.furniture_lines(df, "doc_id", "text", "title").collect()))
+    bodies = sorted(map(repr, boilerplate.main_texts(df, "doc_id", "text", "title").collect()))
+    assert {n for _, n in lines} == {1, 2, 3, 4, 5, 8}
+    for shipped in (0, 3):
+        monkeypatch.setattr(boilerplate, "MODEL_LINES", shipped)
+        assert sorted(map(tuple, boilerplate.furniture_lines(df, "doc_id", "text", "title").collect())) == lines
+        model = boilerplate.line_model(df)
+        assert len(model.kinds) == shipped and model.rest.count() > 0
+        assert sorted(map(repr, boilerplate.main_texts(df.repartition("doc_id"), "doc_id", "text", "title", model=model).collect())) == bodies
+
+
 def test_page_operator_on_odd_rows(spark):
     rows = [(1, PAGE, None, 9), (1, PAGE, None, 9), (2, None, None, 9), (3, "", "t", 9), (4, "x\n" * 50_000, "", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, title string, line_no int")

@@ -95,6 +95,7 @@ STEP_VERBS = frozenset(
 _LABEL = frozenset(x.strip().lower() for x in LABELS.replace("\n", " ").split(",") if x.strip())
 _PURPOSE = [(frozenset(words.split()), re.compile(shape)) for words, shape in PURPOSES]
 _PURPOSE_WORDS = frozenset().union(*(words for words, _ in _PURPOSE))
+_PURPOSE_BY_WORD = {word: [shape for words, shape in _PURPOSE if word in words] for word in _PURPOSE_WORDS}
 _WORD = re.compile(r"[^\W\d_]+|©")
 _CAPTION = re.compile("|".join(f"(?:{p})" for p in CAPTIONS))
 _SHAPE = re.compile(rf"(?:{CRUMBS}) *[>»›/] .+|(?:{PREFIXED}) ?: .+|(?:{NEIGHBOURS}) ?: .+|{PAGING}")
@@ -139,8 +140,7 @@ def _key(line: str, host: str | None) -> int:
 
 
 def _has_purpose(low: str) -> bool:
-    words = set(_WORD.findall(low))
-    return not words.isdisjoint(_PURPOSE_WORDS) and any(not words.isdisjoint(w) and shape.fullmatch(low) for w, shape in _PURPOSE)
+    return any(shape.fullmatch(low) for word in _PURPOSE_WORDS.intersection(_WORD.findall(low)) for shape in _PURPOSE_BY_WORD[word])
 
 
 def _parts(line: str) -> list[str]:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -61,8 +62,11 @@ _FIELD_SHAPES = [
 _LINKED = rf"\[\[{_NAME}\]\](?!\()"  # a link in wiki notation
 _LINKED_NAME = r"\[\[(?:[A-Za-z][A-Za-z0-9]*(?:[_.][A-Za-z0-9]+)+|[a-z]+[A-Z][A-Za-z]*)\]\]"  # hardly the title of a page
 _BRACED = r"(?<![A-Za-z0-9_$`{}\\^])\{[A-Za-z][A-Za-z0-9_.]*\}(?![}`{])"  # an argument in TeX
-_FIELD = re.compile("|".join([*_FIELD_SHAPES, _LINKED]))
-_FIELD_WIKI = re.compile("|".join([*_FIELD_SHAPES, _LINKED_NAME]))
+# Of the signs of each shape, links last, a text that holds it has one.
+_FIELD_SIGNS = [
+    ("{{", "{\\{"), ("${", "$\\{"), ("[INSERT", "[Insert", "[insert"), ("[Your", "[YOUR", "[your"), ("XXX",), ("#",), (">>", "&gt;&gt;"),
+    ("{%", "{\\%"), ("__", "_\\_"), ("@@",), ("*|",), ("%",), ("$",), ("]]",),
+]
 _FIELD_SHOWN = re.compile("|".join([*_FIELD_SHAPES, _LINKED, _BRACED]))
 # The first two signs of every shape: a text without them has no field.
 _OPENING = re.compile(r"\{\{|\{\\|\{%|\$\{|\$\\|\$[A-Z]|\[\[|\[I|\[i|\[Y|\[y|XXX|#[A-Z]|<<|&lt;&lt;|__|_\\|@@|\*\||%[A-Z]")
@@ -135,15 +139,29 @@ _SCRIPTS = re.compile(
     r"|请启用\s*javascript.*|.{0,8}浏览器.{0,4}(?:禁用|不支持|阻止|屏蔽).*|.{0,10}javascript.{0,10}(?:有効|必要).*"
 )
 # Stems of failure and of scripts in several languages; every notice holds one of them.
-_TERM = re.compile(
+_TERMS = (
     "<status>|http|error|status|denied|blocked|forbidden|permission|authori|session|link|login|account|token|ticket|request|"
-    "you (?:do not|don't|need|lack|are not)|moved|deleted|removed|found|unavailable|exist|no longer|gone|capacity|available|cannot|responding|reachable|maintenance|"
-    "please|could ?not|can ?not|client|traffic|exception|reference|fault|fail|overflow|timeout|timed out|refused|aborted|closed|reset|lost|"
+    "you do not|you don't|you need|you lack|you are not|moved|deleted|removed|found|unavailable|exist|no longer|gone|capacity|available|cannot|responding|reachable|maintenance|"
+    "please|could not|couldnot|can not|cannot|client|traffic|exception|reference|fault|fail|overflow|timeout|timed out|refused|aborted|closed|reset|lost|"
     "javascript|scripting|script|browser|human|moment|captcha|erreur|statut|état|código|estado|code|fehler|gefunden|existiert|erreichbar|verfügbar|ungültig|"
     "abgelaufen|gesperrt|verschoben|gelöscht|entfernt|introuvable|existe|déplacé|supprimé|bloqu|expiré|invalide|disponible|inaccessible|répond|"
     "encuentra|caducado|fallado|terminado|eliminad|movid|responde|válid|navegador|navigateur|skripte|错误|状态|代码|不存在|删除|无法|响应|过期|失效|移动|无效|结束|锁定|浏览器|エラー|有効|必要|오류|"
     "geweigerd|verlopen|niet gevonden|non trovat|negato|scadut|não encontrad|negado|expirad"
 )
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words, by shared beginnings: much faster to search for than one after the other."""
+    by_first: dict[str, set[str]] = {}
+    for w in words:
+        by_first.setdefault(w[:1], set()).add(w[1:])
+    if "" in by_first:
+        return ""  # the shortest one is enough
+    branches = [re.escape(first) + _any_of(sorted(rests)) for first, rests in sorted(by_first.items())]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+_TERM = re.compile(_any_of(_TERMS.split("|")))
 # A word of failure or of scripts that makes a widely recurring message a notice.
 _WEAK = re.compile(
     r"\b(?:access|request|server|page|site|session|service|connection|link)\b.*\b(?:denied|unavailable|timed out|not found|refused|captcha|expired|failed)\b|\bcaptcha\b"
@@ -187,10 +205,33 @@ def _may_be_stub(low: str) -> bool:
 
 
 def _may_be_filler(words: list[str], latin: frozenset[str]) -> bool:
-    """Could these words hold a filler sentence?"""
+    """Could these words, whatever stands between them, hold a filler sentence?"""
     return not latin.isdisjoint(words) or not _NOTHING.isdisjoint(words) and sum(w in _NOTHING for w in words) >= 3
 
 
+@lru_cache(maxsize=4)
+def _vocabulary(latin: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """Words that count towards a filler sentence; those of the passages of which it needs one."""
+    return latin | _NOTHING, latin - _AMBIGUOUS
+
+
+def _has_filler_run(low: str, latin: frozenset[str]) -> bool:
+    """Could a sentence of this running text be filler?
+
+    ``FILLER_SHARE``, over two thirds, of such a sentence's words are known, and it has three at least; then
+    three of some four neighbours are. Or it opens with the well-known two, whatever follows.
+    """
+    known = bytes(map(_vocabulary(latin)[0].__contains__, _WORD.findall(low)))
+    return b"\1\1\1" in known or b"\1\1\0\1" in known or b"\1\0\1\1" in known or "lorem" in low
+
+
+def _runs_on(text: str, kind: str | None) -> bool:
+    """Are the words of every block of the main body neighbours in the text, too? No markup or code spans are taken out and no lines joined."""
+    if kind == "export" or "`" in text:
+        return False
+    return kind != "page" or "<" not in text and not any(x[:1].islower() for x in text.split("\n"))
+
+
 def classify(message: str, docs: int, sources: int, latin: frozenset[str] = _LATIN) -> str | None:
     """The class of one distinct normalised message, from its shape and its recurrence; None for none."""
     if _SHOWN in message:
@@ -210,11 +251,18 @@ def classify(message: str, docs: int, sources: int, latin: frozenset[str] = _LAT
     return None
 
 
+@lru_cache(maxsize=1024)
+def _fields_of(shapes: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile("|".join(shapes))
+
+
 def _mark_fields(text: str, form: str | None) -> str:
     """Fields left open become one mark, before any grammar takes their signs for markup."""
     if not _OPENING.search(text):
         return text
-    return (_FIELD_WIKI if form == "wiki" else _FIELD).sub(_MARK, text)
+    # only shapes whose signs the text has; in one order, as one shape may begin where another does
+    shapes = tuple(shape for shape, signs in zip([*_FIELD_SHAPES, _LINKED_NAME if form == "wiki" else _LINKED], _FIELD_SIGNS, strict=True) if any(x in text for x in signs))
+    return _fields_of(shapes).sub(_MARK, text) if shapes else text
 
 
 def main_blocks(text: str, kind: str | None, title: str | None, form: str | None = None) -> Iterator[str]:
@@ -275,20 +323,27 @@ def messages(text: str | None, kind: str | None, title: str | None, lang: str |
         return [], []
     found: dict[str, None] = {}
     form = markup.notation(text) if kind == "export" else None
-    text = _mark_fields(text, form)
+    opened = bool(_OPENING_SHOWN.search(text))
+    if opened:
+        text = _mark_fields(text, form)
+        opened = _MARK in text or bool(_OPENING_SHOWN.search(text))
+    else:
+        opened = _MARK in text
     low = text.lower()
     stub = _may_be_stub(low)
-    plain_latin = latin - _AMBIGUOUS
-    filler = _may_be_filler(_WORD.findall(low), plain_latin)
+    if kind == "export":
+        filler = True  # markup may part words; the blocks decide
+    else:
+        filler = _has_filler_run(low, latin) if not opened and _runs_on(text, kind) else _may_be_filler(_WORD.findall(low), _vocabulary(latin)[1])
     blocks: list[str] | None = None
-    if stub or filler or _MARK in text or _OPENING_SHOWN.search(text):
+    if stub or filler or opened:
         blocks = list(main_blocks(text, kind, title, form))
         for block in blocks:
             plain = _CODE_SPAN.sub(" ", block) if "`" in block else block
             if _OPENING_SHOWN.search(plain):
                 plain = _FIELD_SHOWN.sub(_MARK, plain)
             small = plain.lower()
-            may_fill = filler and _may_be_filler(_WORD.findall(small), plain_latin)
+            may_fill = filler and _has_filler_run(small, latin)
             if not (may_fill or _MARK in plain or stub and _may_be_stub(small)):
                 continue
             for a, b in sentences(plain, lang):

@@ -149,3 +149,41 @@ def test_residue(spark):
     assert {r.doc_id for r in residue.residue(df.unionByName(df)).collect()} == {i for i, _, _, case in RESIDUE if case}
     assert residue.residue(df.limit(0)).count() == 0
     assert residue.normalise("Error 5 at 2024-01-02, see https://a.b/c or X@y.ex") == "error <n> at <date>, see <url> or <mail>" and residue.normalise("HTTP 504 - bad") == "http <status> - bad"
+
+
+def test_sentences_are_split_only_where_filler_may_stand(monkeypatch):
+    latin = residue._LATIN | {"but", "now", "real"}
+    split = []
+    monkeypatch.setattr(residue, "sentences", lambda text, lang: split.append(text) or [(0, len(text))])
+    plain = "Teams hold long tables, but the real ones are now short.\n\nLists now grow."
+    for kind in ("note", "page", "export"):
+        assert residue.messages(plain, kind, "T", "en", latin) == ([], []) and not split, kind
+        assert residue.messages(plain + "\n\nReal dolor vitae elit now.", kind, "T", "en", latin)[0] == ["real dolor vitae elit now."], kind
+        split.clear()
+
+
+def test_filler_test_holds_for_every_filler_sentence():
+    rng = random.Random(7)
+    pools = [["dolor", "elit", "magna"], ["et", "in"], ["foo", "blah"], ["list", "team", "x"], ["lorem", "ipsum"]]
+    found = 0
+    for _ in range(20_000):
+        some = [w for pool in rng.sample(pools, rng.randint(1, 3)) for w in pool]
+        words = [rng.choice(some) for _ in range(rng.randint(1, 12))]
+        if residue._filler(" ".join(words), residue._LATIN):
+            found += 1
+            assert residue._has_filler_run(" ".join(["team", *words, "list"]), residue._LATIN), words
+    assert found > 2_000
+
+
+def test_faster_patterns_accept_the_same():
+    terms = residue._TERMS.split("|")
+    assert all(residue._TERM.search(f"x{t}y") for t in terms) and not residue._TERM.search("teams hold long tables")
+    rng = random.Random(8)
+    for _ in range(20_000):
+        t = rng.choice(terms)
+        text = t[: rng.randint(0, len(t))] + rng.choice(terms)[rng.randint(0, 4) :]
+        assert bool(residue._TERM.search(text)) == any(x in text for x in terms), text
+    fields = ["{{name}}", "\\{\\{ a.b \\}\\}", "${x}", "\\$\\{x}", "[INSERT date]", "[Your name]", "XXXX", "#NAME#", "<<plan>>", "&lt;&lt;plan&gt;&gt;", "{% x %}", "\\{\\% x \\%\\}", "__NAME__", "\\_\\_NAME\\_\\_", "@@x@@", "*|NAME|*", "%NAME%", "%%NAME%%", "$NAME", "[[order_no]]"]
+    for form in (None, "wiki"):
+        assert {residue._mark_fields(f"Dear {x} and", form) for x in fields} == {f"Dear {residue._MARK} and"}
+    assert residue._mark_fields("See [[Plan]].", "wiki") == "See [[Plan]]." and residue._mark_fields("See [[Plan]].", None) == f"See {residue._MARK}."
